@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from sextant.llm import quality_rules
+from sextant.llm import line_dedup, quality_rules
 
 QUERIES = {
+    "op4_line_dedup": line_dedup.query,
     "op6_quality_rules": quality_rules.query,
 }
 
 ORACLES = {
+    "op4_line_dedup": line_dedup.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
 }
