@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sextant.llm import line_dedup, quality_rules
+from sextant.llm import line_dedup, quality_rules, simhash_dedup
 
 QUERIES = {
+    "op10_simhash_dedup": simhash_dedup.query,
     "op4_line_dedup": line_dedup.query,
     "op6_quality_rules": quality_rules.query,
 }
