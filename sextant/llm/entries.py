@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from sextant.llm import line_dedup, quality_rules, simhash_dedup
+from sextant.llm import line_dedup, mixing, quality_rules, simhash_dedup
 
 QUERIES = {
+    "op1_mixing": mixing.query,
     "op10_simhash_dedup": simhash_dedup.query,
     "op4_line_dedup": line_dedup.query,
     "op6_quality_rules": quality_rules.query,
 }
 
 ORACLES = {
+    "op1_mixing": mixing.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
 }
