@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sextant.llm import line_dedup, mixing, quality_rules, simhash_dedup
+from sextant.llm import line_dedup, mixing, packing, quality_rules, simhash_dedup
 
 QUERIES = {
+    "op7_packing": packing.query,
     "op1_mixing": mixing.query,
     "op10_simhash_dedup": simhash_dedup.query,
     "op4_line_dedup": line_dedup.query,
