@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from sextant.llm import line_dedup, mixing, packing, quality_rules, simhash_dedup
+from sextant.llm import line_dedup, media, mixing, packing, quality_rules, simhash_dedup, warc
 
 QUERIES = {
+    "op2_media": media.query,
+    "op8_warc": warc.query,
     "op7_packing": packing.query,
     "op1_mixing": mixing.query,
     "op10_simhash_dedup": simhash_dedup.query,
