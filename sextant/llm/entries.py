@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from sextant.llm import line_dedup, media, mixing, packing, quality_rules, simhash_dedup, warc
+from sextant.llm import chat, language_id, line_dedup, media, mixing, packing, quality_classifier, quality_rules, simhash_dedup, warc
 
 QUERIES = {
+    "op9_quality_classifier": quality_classifier.query,
+    "op3_language_id": language_id.query,
+    "op5_chat": chat.query,
     "op2_media": media.query,
     "op8_warc": warc.query,
     "op7_packing": packing.query,
