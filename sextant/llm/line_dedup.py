@@ -28,24 +28,30 @@ MIN_WORDS = 50
 
 def _lines(text: Column) -> Column:
     """Per line with a word: its place, two hashes of its words joined by single spaces, and its words."""
+    # runs of white space inside lines become one space; a text seldom has any
+    even = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
+
     def one(line: Column, i: Column) -> Column:
-        w = F.array_join(common.words(line), " ")
-        return common.let(w, lambda x: F.struct(
-            i.alias("line"), F.xxhash64(x).alias("h1"), F.xxhash64(x, F.lit(1)).alias("h2"),
-            F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words")))
+        return F.struct(
+            i.alias("line"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"),
+            F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).alias("words"))
 
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), one), lambda x: x["words"] > 0)
+    return F.filter(F.transform(F.transform(F.split(even, "\n"), F.trim), one), lambda x: x["words"] > 0)
 
 
-def _steps(counts: Column, least: int) -> Column:
-    """How many leading entries sum up to less than ``least``, stopping at the first that reaches it."""
+def _steps(counts, least: int) -> Column:
+    """How many leading entries sum up to less than ``least``; ``counts(n)`` gives the first n. A few mostly suffice."""
     start = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).alias("n"))
 
     def add(a: Column, x: Column) -> Column:
         s = a["s"] + x
         return F.struct(s.alias("s"), (a["n"] + F.when(s < least, 1).otherwise(0)).alias("n"))
 
-    return F.aggregate(counts, start, add, lambda a: a["n"])
+    def among(n: int) -> Column:
+        return F.aggregate(counts(n), start, add, lambda a: a["n"])
+
+    few = min(6, least)
+    return common.let(among(few), lambda n: F.when(n < few, n).otherwise(among(least)))
 
 
 def positions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -54,16 +60,16 @@ def positions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ``left``: lines of its document from here on; ``ahead``/``back``: lines of the shortest block of ``min_words``
     words that starts/ends here (null: none); ``reach``: no block from here that is needed has more lines.
     """
-    slim = docs.select("_id", "_row_id", _lines(F.col("_text")).alias("ls")).filter(F.size("ls") > 0)
+    slim = common.cut(docs.select("_id", "_row_id", _lines(F.col("_text")).alias("ls")), "line-ids").filter(F.size("ls") > 0)
     slim = slim.repartitionByRange("_id", "_row_id").sortWithinPartitions("_id", "_row_id")
     n = F.size("ls")
     w = F.transform("ls", lambda x: x["words"])
 
     def block(x: Column, i: Column) -> Column:
-        ahead = _steps(F.slice(F.col("w"), i + 1, F.lit(min_words)), min_words) + 1
-        first = F.greatest(i - min_words + 2, F.lit(1))
-        back = _steps(F.reverse(F.slice(F.col("w"), first, i + 2 - first)), min_words) + 1
-        inner = _steps(F.slice(F.col("w"), i + 2, F.lit(min_words)), min_words) + 2
+        back_slice = lambda n: F.reverse(F.slice(F.col("w"), F.greatest(i - n + 2, F.lit(1)), F.least(i + 1, F.lit(n))))
+        ahead = _steps(lambda n: F.slice(F.col("w"), i + 1, F.lit(n)), min_words) + 1
+        back = _steps(back_slice, min_words) + 1
+        inner = _steps(lambda n: F.slice(F.col("w"), i + 2, F.lit(n)), min_words) + 2
         return F.struct(
             x["line"].alias("line"), x["h1"].alias("h1"), x["h2"].alias("h2"), (F.col("n") - i).alias("left"),
             F.when(ahead <= F.col("n") - i, ahead).alias("ahead"), F.when(back <= i + 1, back).alias("back"), inner.alias("reach"))
