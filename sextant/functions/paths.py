@@ -64,11 +64,19 @@ def feature_id(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9_.]", "."), r"\.+", "."), F.lit("."))
 
 
-def layer_of_dir(path: Column) -> Column:
-    """Layer of a package folder by what its name contains; handler before repository, service and query."""
-    d = F.lower(dirname(path))
-    out = F.when(d.contains("handler") | d.contains("controller"), "handler").when(d.contains("repositor") | d.contains("store"), "repository")
-    return out.when(d.contains("service"), "service").when(d.contains("quer") | d.contains("sql"), "query").otherwise("external")
+#: What a package folder's name contains if it is of a layer, in the order tried; nothing fits: service.
+LAYER_HINTS = {"handler": ["handler", "resolver"], "repository": ["persistence", "repository"], "service": ["service"], "query": ["generated"]}
+
+
+def layer_of_dir(folder: Column, rules: dict[str, list[str]] | None = None) -> Column:
+    """Layer of a package folder by what its name contains: configured rules first, then the defaults."""
+    name, tests = F.lower(folder), []
+    for hints in (rules or {}, LAYER_HINTS):
+        tests += [(layer, h.lower()) for layer in LAYER_HINTS for h in hints.get(layer, [])]
+    out = F.when(name.contains(tests[0][1]), tests[0][0])
+    for layer, h in tests[1:]:
+        out = out.when(name.contains(h), layer)
+    return out.otherwise("service")
 
 
 def status_percent(part: Column, whole: Column) -> Column:

@@ -11,3 +11,89 @@ def shared_segments(df: DataFrame, key: str, path: str, skip: list[str], longer_
     seg = df.select(key, F.explode(F.array_distinct(F.split(path, "/"))).alias("seg")).filter((F.length("seg") > longer_than) & ~F.col("seg").isin(*skip))
     a, b = seg.select(F.col(key).alias("a"), "seg"), seg.select(F.col(key).alias("b"), "seg")
     return a.join(b, "seg").filter("a < b").select("a", "b").distinct()
+
+
+def map_tests(tests: DataFrame, marked: DataFrame, registry: DataFrame) -> DataFrame:
+    """Features of test files: those the file names (``marked``: file_path, feature_id), else all of the nearest domain in its path.
+
+    A folder equal to a domain counts from the deepest up; else the smallest domain that the path contains before a slash or a dot.
+    """
+    named = tests.join(marked, "file_path").select("file_path", "feature_id", F.lit("annotation").alias("how"))
+    rest = tests.join(marked.select("file_path"), "file_path", "left_anti").select("file_path").distinct()
+    domains = registry.select("domain").distinct()
+    low = F.lower("file_path")
+    folders = rest.select("file_path", F.posexplode(F.slice(F.split(low, "/"), F.lit(1), F.greatest(F.size(F.split(low, "/")) - 1, F.lit(0)))).alias("at", "domain"))
+    near = folders.join(domains, "domain").groupBy("file_path").agg(F.max_by("domain", "at").alias("domain"))
+    # a domain between a slash and a slash or a dot: the leading words of each component
+    left = rest.join(near, "file_path", "left_anti")
+    words = left.select("file_path", F.explode(F.slice(F.split(low, "/"), 2, F.size(F.split(low, "/")))).alias("part"))
+    dots = F.transform(F.sequence(F.lit(1), F.size(F.split("part", r"\."))), lambda n: F.array_join(F.slice(F.split("part", r"\."), F.lit(1), n), "."))
+    inside = words.select("file_path", F.explode(dots).alias("domain"), "part").filter("domain <> part OR contains(part, '.')").join(domains, "domain").groupBy("file_path").agg(F.min("domain").alias("domain"))
+    auto = near.unionByName(inside).join(registry.select("domain", "feature_id"), "domain").select("file_path", "feature_id", F.lit("folder").alias("how"))
+    return named.unionByName(auto).distinct()
+
+
+def feature_table(rows: DataFrame, text: str = "", priority: str = "", band: str = "", page: int = 1, per_page: int = 15) -> DataFrame:
+    """A page of features (seq, feature_id, priority, health) by text, priority and health band; pages beyond the last show the last."""
+    out = rows.withColumn("pct", F.floor(F.col("health") * 100).cast("int"))
+    if priority:
+        out = out.filter(F.col("priority") == priority)
+    if text:
+        out = out.filter(F.contains(F.lower("feature_id"), F.lit(text.lower())) | F.contains(F.lower("priority"), F.lit(text.lower())))
+    if band:
+        out = out.filter({"healthy": "pct >= 80", "at-risk": "pct >= 50 AND pct < 80", "critical": "pct < 50"}[band])
+    pages = max(1, -(-out.count() // per_page))
+    page = min(max(1, page), pages)
+    return out.orderBy("seq").offset((page - 1) * per_page).limit(per_page)
+
+
+def status_filter(slots: DataFrame, domain: str = "", priority: str = "", status: str = "") -> DataFrame:
+    """Features of a domain and priority that have any slot of a status."""
+    out = slots
+    for column, value in (("domain", domain), ("priority", priority), ("status", status)):
+        if value:
+            out = out.filter(F.col(column) == value)
+    return out.select("domain", "feature_id", "priority").distinct()
+
+
+def open_gaps(registry: DataFrame, gaps: DataFrame, priorities: list[str], below: float, limit: int = 0) -> DataFrame:
+    """Features of some priorities under a health, with gaps (feature_id, n_gaps), in the order of the registry."""
+    out = registry.filter(F.col("priority").isin(priorities) & (F.col("health") < below)).join(gaps.filter("n_gaps > 0").select("feature_id", "n_gaps"), "feature_id")
+    return out.orderBy("seq").limit(limit) if limit else out
+
+
+def audit_list(rows: DataFrame, priorities: list[str] | None = None, below: float = 0.0, unconfigured: bool = False, sort: str = "health", limit: int = 0) -> DataFrame:
+    """Audited features (seq, feature_id, priority, health, n_gaps), filtered, sorted and cut in this order."""
+    out = rows.filter(F.col("priority").isin(priorities)) if priorities else rows
+    if below > 0:
+        out = out.filter(F.col("health") < below)
+    if unconfigured:
+        out = out.filter("health = 0 AND n_gaps = 0")
+    order = {"health": [F.col("health")], "name": [F.col("feature_id")], "priority-score": [F.desc("score")]}[sort]
+    out = out.orderBy(*order, "seq")
+    return out.limit(limit) if limit > 0 else out
+
+
+def merge_registry(stored: DataFrame, found: DataFrame) -> DataFrame:
+    """Stored features, and those found whose id is new."""
+    return stored.unionByName(found.join(stored.select("feature_id"), "feature_id", "left_anti").select(*stored.columns))
+
+
+def surface_priority(df: DataFrame) -> DataFrame:
+    """Routes (method, path) with the priority that their path and method suggest."""
+    p = F.lower("path")
+    critical = p.rlike("auth|login|payment|billing")
+    return df.withColumn("priority", F.when(critical, "critical").when(F.col("method").isin("POST", "PUT", "DELETE", "PATCH"), "high").otherwise("medium"))
+
+
+def run_commands(results: DataFrame) -> DataFrame:
+    """The command that would run each test file; nothing is run."""
+    f, p = F.col("framework"), F.col("file_path")
+    go = F.concat(F.lit("go test ./"), F.regexp_replace(p, "/?[^/]*$", ""), F.lit("/..."))
+    cmd = F.when(f == "go", go).when(f == "playwright", F.concat(F.lit("npx playwright test "), p)).when(f.isin("vitest", "jest"), F.concat(F.lit("npx "), f, F.lit(" run "), p))
+    return results.withColumn("command", cmd.when(f == "maestro", F.concat(F.lit("maestro test "), p)).otherwise(F.concat(F.lit("pytest "), p)))
+
+
+def to_dot(edges: DataFrame) -> DataFrame:
+    """Lines of a DOT graph's edges."""
+    return edges.select(F.concat(F.lit('"'), "src", F.lit('" -> "'), "dst", F.lit('" [label="'), "kind", F.lit('"];')).alias("line"))

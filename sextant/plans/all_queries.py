@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.plans import coverage_queries, graph_queries, lookup_queries, score_queries  # noqa: F401
+from sextant.plans import coverage_queries, graph_queries, lookup_queries, score_queries, source_queries  # noqa: F401
 from sextant.plans.derived import Tables
 
 
