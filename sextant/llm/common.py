@@ -2,43 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sextant.sources.storage import cut, new_path, shared_dir  # noqa: F401
+
 #: White space of the contracts: space and U+0009..U+000D. A word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. In local mode only, one is made if the session names none."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="sextant-")
-    return _own[app]
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """An unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor lose it with an executor."""
-    path = new_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def numbered(df: DataFrame, *order: str | Column, tag: str) -> DataFrame:
     """Sort globally by ranges of ``order`` and write the rows with ``_part`` (the range) and ``_row`` (the place in it).
 
@@ -65,6 +37,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def where(df: DataFrame, cond: Column) -> DataFrame:
+    """Filter on computed columns. No filter is pushed through a column that depends on the partition, so they are not computed
+    again below, inside lambdas and once per element."""
+    return df.withColumn("_fence", F.spark_partition_id()).filter(cond & (F.col("_fence") >= 0)).drop("_fence")
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     """A driver table."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -36,7 +36,7 @@ def _lines(text: Column) -> Column:
             i.alias("line"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"),
             F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).alias("words"))
 
-    return F.filter(F.transform(F.transform(F.split(even, "\n"), F.trim), one), lambda x: x["words"] > 0)
+    return F.filter(F.transform(F.transform(F.split(even, "\n"), lambda x: F.trim(x)), one), lambda x: x["words"] > 0)
 
 
 def _steps(counts, least: int) -> Column:

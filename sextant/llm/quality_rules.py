@@ -115,7 +115,7 @@ def apply_policy(led: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
 
 def filter_documents(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with their own columns only."""
-    return ledger(docs).filter(policy.keeps(F.col("_bits"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return common.where(ledger(docs), policy.keeps(F.col("_bits"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def ablations(led: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
