@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_scopes: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,8 +27,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """An unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """An unused path below the shared folder, or below the open scope."""
+    return f"{_scopes[-1] if _scopes else shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scope(spark: SparkSession, tag: str) -> Iterator[str]:
+    """Tables cut inside lie below one folder, whose path is given, so that they can be removed together."""
+    _scopes.append(new_path(spark, tag))
+    try:
+        yield _scopes[-1]
+    finally:
+        _scopes.pop()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is stored."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
