@@ -24,19 +24,19 @@ def _go_lines(t):
     e = t.events.selectExpr(
         "event_id AS seq", "CAST(event_id % 3 AS string) AS report",
         f"to_json(named_struct('Time', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\"), 'Action', {_ACTION}, 'Package', 'example.org/x/pkg' || (user_id % 12), 'Test', 'T' || (user_id % 40) || CASE WHEN event_id % 4 = 0 THEN '/sub' ELSE '' END,"
-        " 'Elapsed', event_id % 977 / 1000.0e0, 'Output', CASE WHEN event_id % 7 = 0 THEN '--- FAIL: t' || event_id WHEN event_id % 11 = 0 THEN 'log @atlas:feature F' || (event_id % 9) ELSE 'ok' END)) AS value")
+        " 'Elapsed', event_id % 977 / 1000.0e0, 'Output', CASE WHEN event_id % 7 = 0 THEN '--- FAIL: t' || event_id WHEN event_id % 11 = 0 THEN 'log @note:feature F' || (event_id % 9) ELSE 'ok' END)) AS value")
     noise = t.events.filter("event_id % 10 = 0").selectExpr("event_id AS seq", "CAST(event_id % 3 AS string) AS report", "CASE WHEN event_id % 20 = 0 THEN 'PASS' ELSE '{broken' END AS value")
     return e.unionByName(noise)
 
 
 _GO = f"""
 ev AS (SELECT event_id AS seq, event_id % 3 AS r, 'example.org/x/pkg' || (user_id % 12) AS package, 'T' || (user_id % 40) || CASE WHEN event_id % 4 = 0 THEN '/sub' ELSE '' END AS test, {_ACTION} AS action, event_id % 977 AS ms,
-  CASE WHEN event_id % 7 = 0 THEN '--- FAIL: t' || event_id WHEN event_id % 11 = 0 THEN 'log @atlas:feature F' || (event_id % 9) ELSE 'ok' END AS out, ts FROM events)"""
+  CASE WHEN event_id % 7 = 0 THEN '--- FAIL: t' || event_id WHEN event_id % 11 = 0 THEN 'log @note:feature F' || (event_id % 9) ELSE 'ok' END AS out, ts FROM events)"""
 
 
 @query("s02_go_results", f"""
 WITH {_GO}, g AS (SELECT r, package, test, max(seq) FILTER (WHERE action IN ('pass', 'fail', 'skip')) AS e, min(seq) FILTER (WHERE action = 'output' AND out LIKE 'log @%') AS f, min(seq) FILTER (WHERE action = 'output' AND out LIKE '--- FAIL%') AS m FROM ev GROUP BY 1, 2, 3)
-SELECT g.r::VARCHAR AS report, g.package || '.' || g.test AS name, split_part(g.package, '/', -1) || '.' || split_part(g.test, '/', 1) AS symbol, lower(substr(f.out, 20)) AS feature_id, coalesce(e.action, 'fail') AS status,
+SELECT g.r::VARCHAR AS report, g.package || '.' || g.test AS name, split_part(g.package, '/', -1) || '.' || split_part(g.test, '/', 1) AS symbol, lower(substr(f.out, 19)) AS feature_id, coalesce(e.action, 'fail') AS status,
   coalesce(trunc(e.ms / 1000.0e0 * 1000)::BIGINT, 0) AS duration_ms, coalesce(m.out, CASE WHEN e.seq IS NULL THEN 'no terminal event in -json stream (truncated?)' ELSE '' END) AS message
 FROM g LEFT JOIN ev e ON e.seq = g.e LEFT JOIN ev f ON f.seq = g.f LEFT JOIN ev m ON m.seq = g.m""")
 def _(t):
@@ -136,15 +136,15 @@ def _(t):
 
 def _sources(t):
     """Source files with notes in comments, code and strings."""
-    text = """'package x\\n// @atlas:feature auth.f' || (p_partkey % 9) || ' #x prose here\\nfunc a() {}\\n/*\\n * @testreg one.' || p_partkey || ',two #tag\\n */\\ns := "// @atlas:feature no.one"\\n// @api GET /v' || (p_partkey % 4)
-      || '/items\\n// @atlas:saga pay step=' || CASE WHEN p_partkey % 2 = 0 THEN '3' ELSE 'three' END || '\\n// @atlas:Feature bad\\n// @atlas:consumer stream=st' || (p_partkey % 3) || '\\n'"""
+    text = """'package x\\n// @note:feature auth.f' || (p_partkey % 9) || ' #x prose here\\nfunc a() {}\\n/*\\n * @covers one.' || p_partkey || ',two #tag\\n */\\ns := "// @note:feature no.one"\\n// @api GET /v' || (p_partkey % 4)
+      || '/items\\n// @note:saga pay step=' || CASE WHEN p_partkey % 2 = 0 THEN '3' ELSE 'three' END || '\\n// @note:Feature bad\\n// @note:consumer stream=st' || (p_partkey % 3) || '\\n'"""
     return t.part.selectExpr("'src/f' || p_partkey || '.go' AS file_path", f"{text} AS text")
 
 
 @query("s09_annotations", """
 SELECT 'src/f' || p_partkey || '.go' AS file_path, v.line, v.kind, CASE v.line WHEN 2 THEN 'auth.f' || (p_partkey % 9) WHEN 5 THEN 'one.' || p_partkey || ',two' WHEN 9 THEN 'pay' WHEN 11 THEN 'st' || (p_partkey % 3) ELSE '' END AS ids,
   CASE v.line WHEN 2 THEN '#x' WHEN 5 THEN '#tag' WHEN 9 THEN 'step=3' WHEN 11 THEN 'stream=st' || (p_partkey % 3) ELSE '' END AS tags, v.source, CASE WHEN v.line = 8 THEN '/v' || (p_partkey % 4) || '/items' END AS path
-FROM part CROSS JOIN (SELECT * FROM (VALUES (2, 'feature', 'atlas'), (5, 'feature', 'testreg'), (8, 'api', 'api'), (9, 'saga', 'atlas'), (11, 'consumer', 'atlas')) x(line, kind, source)) v WHERE v.line <> 9 OR p_partkey % 2 = 0""")
+FROM part CROSS JOIN (SELECT * FROM (VALUES (2, 'feature', 'current'), (5, 'feature', 'legacy'), (8, 'api', 'api'), (9, 'saga', 'current'), (11, 'consumer', 'current')) x(line, kind, source)) v WHERE v.line <> 9 OR p_partkey % 2 = 0""")
 def _(t):
     join = lambda c: F.array_join(c, ",").alias(c)
     return annotations.parse_annotations(_sources(t)).select("file_path", "line", "kind", join("ids"), join("tags"), "source", "path")

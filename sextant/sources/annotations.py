@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,11 +15,31 @@ STYLES = {"go": "c", "ts": "c", "tsx": "c", "js": "c", "jsx": "c", "py": "hash",
 KINDS = {"feature", "contract", "owner", "deprecated", "since", "bc", "aggregate", "aggregate-service", "saga", "consumer", "event-emit", "outbox-publish"}
 STRICT = {"feature", "contract", "bc", "aggregate", "aggregate-service", "saga", "consumer", "event-emit", "outbox-publish"}
 ID = re.compile(r"[a-z0-9_-]+(\.[a-z0-9_-]+)*")
-ATLAS = re.compile(r"@atlas:([a-zA-Z][a-zA-Z0-9_-]*)\s+(.+?)\s*$")
-LEGACY = re.compile(r"@testreg\s+(.+?)\s*$")
 API = re.compile(r"@api\s+(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\s+(\S+)")
 STEP = re.compile(r"[0-9]+")
 
+
+
+@dataclass(frozen=True)
+class Marks:
+    """The words that start an annotation: one that a kind follows, and an older one for features alone. A code base has
+    its own; they are told to the parsers. ``sources`` names them in the results."""
+
+    current: str = "@note:"
+    legacy: str = "@covers"
+    sources: tuple[str, str] = ("current", "legacy")
+
+    @property
+    def current_re(self) -> str:
+        return re.escape(self.current) + r"([a-zA-Z][a-zA-Z0-9_-]*)\s+(.+?)\s*$"
+
+    @property
+    def legacy_re(self) -> str:
+        return re.escape(self.legacy) + r"\s+(.+?)\s*$"
+
+
+MARKS = Marks()
+
 _QUOTED = re.compile(r"\"(?:\\.|[^\"\\])*(?:\"|$)|'[^']*(?:'|$)|`[^`]*(?:`|$)")
 
 
@@ -77,9 +98,9 @@ def _tag(tags: list[str], key: str) -> str | None:
     return next((t[len(key) + 1 :] for t in tags if t.startswith(key + "=")), None)
 
 
-def parse_line(text: str) -> dict | None:
+def parse_line(text: str, marks: Marks = MARKS) -> dict | None:
     """The annotation of one comment line: the first grammar that fits wins."""
-    if (m := ATLAS.search(text)) and m[1] in KINDS:
+    if (m := re.search(marks.current_re, text)) and m[1] in KINDS:
         kind, raw = m[1], m[2].strip()
         ids, tags = _parts(raw, False)
         ok = bool(ids)
@@ -92,11 +113,11 @@ def parse_line(text: str) -> dict | None:
         if kind == "saga" and (step := _tag(tags, "step")) is not None:
             ok = ok and STEP.fullmatch(step) is not None
         if ok:
-            return {"kind": kind, "ids": ids, "tags": tags, "source": "atlas", "raw": raw}
-    if m := LEGACY.search(text):
+            return {"kind": kind, "ids": ids, "tags": tags, "source": marks.sources[0], "raw": raw}
+    if m := re.search(marks.legacy_re, text):
         ids, tags = _parts(m[1].strip(), True)
         if ids:
-            return {"kind": "feature", "ids": ids, "tags": tags, "source": "testreg", "raw": m[1].strip()}
+            return {"kind": "feature", "ids": ids, "tags": tags, "source": marks.sources[1], "raw": m[1].strip()}
     if m := API.search(text):
         return {"kind": "api", "ids": [], "tags": [], "source": "api", "raw": f"{m[1]} {m[2]}", "method": m[1], "path": m[2]}
     return None
@@ -105,7 +126,7 @@ def parse_line(text: str) -> dict | None:
 SCHEMA = "file_path string, line int, kind string, ids array<string>, tags array<string>, source string, raw string, method string, path string"
 
 
-def parse_annotations(files: DataFrame) -> DataFrame:
+def parse_annotations(files: DataFrame, marks: Marks = MARKS) -> DataFrame:
     """Annotations of source files (file_path, text), a file at a time in batches; unknown endings have none."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -115,7 +136,7 @@ def parse_annotations(files: DataFrame) -> DataFrame:
             for path, text in zip(pdf["file_path"], pdf["text"]):
                 style = STYLES.get(path.rpartition(".")[2].lower())
                 for no, body in comments(text or "", style) if style else ():
-                    if found := parse_line(body):
+                    if found := parse_line(body, marks):
                         out.append({"file_path": path, "line": no, "method": None, "path": None, **found})
             yield pd.DataFrame(out, columns=names)
 

@@ -6,6 +6,7 @@ Every parser gives: report, name, symbol (go-test only), file, feature_id, statu
 from __future__ import annotations
 
 import json
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from datetime import datetime
@@ -15,17 +16,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions import paths
+from sextant.sources.annotations import MARKS, Marks
 
 RESULT = "report string, name string, file string, feature_id string, status string, duration_ms long, message string"
-#: Marks that name a feature in a title or in output.
-FEATURE_MARK, LEGACY_MARK = r"@atlas:feature\s+([A-Za-z0-9_.-]+)", r"@testreg\s+([A-Za-z0-9_.,-]+)"
 TRUNCATED = "no terminal event in -json stream (truncated?)"
 
 
-def marked_feature(text: Column) -> Column:
+def marked_feature(text: Column, marks: Marks = MARKS) -> Column:
     """The feature that a text names by a mark, in lower case, else null; of a list the first."""
-    one = F.regexp_extract(text, FEATURE_MARK, 1)
-    first = F.btrim(F.substring_index(F.regexp_extract(text, LEGACY_MARK, 1), ",", 1))
+    one = F.regexp_extract(text, re.escape(marks.current) + r"feature\s+([A-Za-z0-9_.-]+)", 1)
+    first = F.btrim(F.substring_index(F.regexp_extract(text, re.escape(marks.legacy) + r"\s+([A-Za-z0-9_.,-]+)", 1), ",", 1))
     return F.lower(F.when(one != "", one).when(first != "", first))
 
 
@@ -39,13 +39,13 @@ def go_events(lines: DataFrame) -> DataFrame:
                      F.coalesce("e.Test", F.lit("")).alias("test"), F.coalesce("e.Elapsed", F.lit(0.0)).alias("elapsed"), F.coalesce("e.Output", F.lit("")).alias("output"))
 
 
-def go_results(events: DataFrame) -> DataFrame:
+def go_results(events: DataFrame, marks: Marks = MARKS) -> DataFrame:
     """A row per report, package and test: the last terminal event gives status and duration, the first mark the feature, the first
     failure line the message. A test without a terminal event failed. Subtests keep their name but have their parent's symbol."""
     end = F.when(F.col("action").isin("pass", "fail", "skip"), F.col("seq"))
     out = F.col("action") == "output"
     fails = out & (F.col("output").contains("--- FAIL") | F.col("output").contains("FAIL:"))
-    mark = F.when(out, marked_feature(F.col("output")))
+    mark = F.when(out, marked_feature(F.col("output"), marks))
     last = F.max_by(F.struct("action", "elapsed"), end)
     rows = events.filter("test <> ''").groupBy("report", "package", "test").agg(
         F.max(end).alias("ended"), last.alias("last"), F.min_by(mark, F.when(mark.isNotNull(), F.col("seq"))).alias("feature_id"),
@@ -69,7 +69,7 @@ VITEST = """startTime bigint, testResults array<struct<name: string, startTime:
   title: string, fullName: string, ancestorTitles: array<string>, status: string, duration: double, failureMessages: array<string>>>>>"""
 
 
-def vitest_results(reports: DataFrame) -> DataFrame:
+def vitest_results(reports: DataFrame, marks: Marks = MARKS) -> DataFrame:
     """Results of Vitest or Jest reports (report, text)."""
     t = reports.select("report", F.explode(F.from_json("text", VITEST)["testResults"]).alias("t")).select("report", F.regexp_replace("t.name", r"\\", "/").alias("file"), F.explode("t.assertionResults").alias("a"))
     a = lambda x: F.col(f"a.{x}")
@@ -78,7 +78,7 @@ def vitest_results(reports: DataFrame) -> DataFrame:
     status = F.when(a("status") == "passed", "pass").when(a("status").isin("skipped", "pending", "todo"), "skip").otherwise("fail")
     path = paths.feature_of_path(F.coalesce("file", F.lit("")), "vitest")
     return t.select(
-        "report", name.alias("name"), "file", F.coalesce(marked_feature(name), F.when(path != "", path)).alias("feature_id"), status.alias("status"),
+        "report", name.alias("name"), "file", F.coalesce(marked_feature(name, marks), F.when(path != "", path)).alias("feature_id"), status.alias("status"),
         F.coalesce(a("duration"), F.lit(0.0)).cast("long").alias("duration_ms"), F.array_join(F.coalesce(a("failureMessages"), F.array()), "\n").alias("message"))
 
 
@@ -89,11 +89,11 @@ def vitest_run(reports: DataFrame, with_end: bool = True) -> DataFrame:
     return r.select("report", F.col("r.startTime").alias("started_ms"), end.alias("finished_ms"))
 
 
-def _named(rows: DataFrame, framework: str) -> DataFrame:
+def _named(rows: DataFrame, framework: str, marks: Marks) -> DataFrame:
     """Rows of a Python parser with their feature: a mark in the name, else the path."""
     file = F.coalesce("file", F.lit(""))
     path = paths.feature_of_flow(F.col("name"), file) if framework == "maestro" else paths.feature_of_path(file, framework)
-    return rows.withColumn("feature_id", F.coalesce(marked_feature(F.col("name")), F.when(path != "", path)))
+    return rows.withColumn("feature_id", F.coalesce(marked_feature(F.col("name"), marks), F.when(path != "", path)))
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -106,7 +106,7 @@ PLAYWRIGHT_TEST = {"expected": "pass", "skipped": "skip", "unexpected": "fail"}
 MAESTRO_FLOW = {"passed": "pass", "pass": "pass", "success": "pass", "skipped": "skip", "skip": "skip"}
 
 
-def playwright_results(reports: DataFrame) -> DataFrame:
+def playwright_results(reports: DataFrame, marks: Marks = MARKS) -> DataFrame:
     """Results of Playwright reports (report, text). Suites nest without a limit, so each report is walked in Python, by batches."""
 
     def rows(report: str, text: str) -> Iterator[tuple]:
@@ -129,10 +129,10 @@ def playwright_results(reports: DataFrame) -> DataFrame:
         for pdf in batches:
             yield _frame([x for r, t in zip(pdf["report"], pdf["text"]) for x in rows(r, t)])
 
-    return _named(reports.select("report", "text").mapInPandas(parse, RESULT), "playwright")
+    return _named(reports.select("report", "text").mapInPandas(parse, RESULT), "playwright", marks)
 
 
-def maestro_results(reports: DataFrame) -> DataFrame:
+def maestro_results(reports: DataFrame, marks: Marks = MARKS) -> DataFrame:
     """Results of Maestro reports (report, text), JUnit XML or JSON by the first character that is no space.
 
     A JSON array is a list of flows. Empty reports have no results.
@@ -162,7 +162,7 @@ def maestro_results(reports: DataFrame) -> DataFrame:
                 out += [] if not start else xml(r, t) if start == "<" else flows(r, t)
             yield _frame(out)
 
-    return _named(reports.select("report", "text").mapInPandas(parse, RESULT), "maestro")
+    return _named(reports.select("report", "text").mapInPandas(parse, RESULT), "maestro", marks)
 
 
 def junit_window(text: str) -> tuple[datetime, float] | None:

@@ -16,7 +16,7 @@ def go_lines(spark, *events):
 def test_go_stream(spark):
     ev = lambda action, test="TestA/sub", **k: {"Time": "2024-01-01T00:00:00Z", "Action": action, "Package": "x/y/pkg", "Test": test, **k}
     events = go_lines(
-        spark, "PASS", "{broken", ev("run"), ev("output", Output="see @testreg Auth.Login,b #x"), ev("output", Output="  --- FAIL: TestA \n"), ev("output", Output="FAIL: again"),
+        spark, "PASS", "{broken", ev("run"), ev("output", Output="see @covers Auth.Login,b #x"), ev("output", Output="  --- FAIL: TestA \n"), ev("output", Output="FAIL: again"),
         ev("fail", Elapsed=0.25), ev("pass", Elapsed=0.5), ev("run", "TestB"), ev("skip", "TestC", Elapsed=1.0), {"Action": "output", "Package": "x/y/pkg", "Output": "no test"})
     got = {r["name"]: r for r in reports.go_results(events).collect()}
     a = got["x/y/pkg.TestA/sub"]
@@ -30,10 +30,10 @@ def test_go_stream(spark):
 def test_playwright_suites_nest(spark):
     spec = lambda title, **test: {"title": title, "tests": [test]}
     report = {"suites": [{"file": "e2e/auth/login.spec.ts", "specs": [spec("ok", results=[{"status": "failed"}, {"status": "passed", "duration": 12.9}])],
-                          "suites": [{"suites": [{"specs": [spec("@atlas:feature Pay.Now bad", results=[{"status": "odd", "error": {"message": "boom"}}]), spec("no results", status="skipped", duration=3)]}]}]}]}
+                          "suites": [{"suites": [{"specs": [spec("@note:feature Pay.Now bad", results=[{"status": "odd", "error": {"message": "boom"}}]), spec("no results", status="skipped", duration=3)]}]}]}]}
     got = {r["name"]: r for r in reports.playwright_results(spark.createDataFrame([("r", json.dumps(report))], "report string, text string")).collect()}
     assert (got["ok"]["status"], got["ok"]["duration_ms"], got["ok"]["feature_id"]) == ("pass", 12, "auth.login")
-    bad = got["@atlas:feature Pay.Now bad"]
+    bad = got["@note:feature Pay.Now bad"]
     assert (bad["status"], bad["message"], bad["feature_id"], bad["file"]) == ("fail", "boom", "pay.now", "e2e/auth/login.spec.ts")
     assert got["no results"]["status"] == "skip"
 
@@ -61,19 +61,19 @@ def test_maestro_by_first_character(spark):
 
 def test_annotation_lines():
     parse = annotations.parse_line
-    assert parse("@atlas:feature auth.login pay.now #tag prose")["ids"] == ["auth.login", "pay.now"]
-    assert parse("@atlas:Feature auth.login") is None and parse("@atlas:feature Auth.Login") is None and parse("@atlas:feature #only") is None
-    assert parse("@atlas:owner Team A")["ids"] == ["Team", "A"]
-    assert parse("@atlas:saga s step=x") is None and parse("@atlas:saga s step=12")["tags"] == ["step=12"]
-    assert parse("@atlas:consumer stream=a.b group=g")["ids"] == ["a.b"] and parse("@atlas:consumer id stream=a") is None and parse("@atlas:consumer group=g") is None
-    assert parse("@testreg a.b, C.d,e #x")["ids"] == ["a.b", "C.d", "e"] and parse("@testreg #x") is None
+    assert parse("@note:feature auth.login pay.now #tag prose")["ids"] == ["auth.login", "pay.now"]
+    assert parse("@note:Feature auth.login") is None and parse("@note:feature Auth.Login") is None and parse("@note:feature #only") is None
+    assert parse("@note:owner Team A")["ids"] == ["Team", "A"]
+    assert parse("@note:saga s step=x") is None and parse("@note:saga s step=12")["tags"] == ["step=12"]
+    assert parse("@note:consumer stream=a.b group=g")["ids"] == ["a.b"] and parse("@note:consumer id stream=a") is None and parse("@note:consumer group=g") is None
+    assert parse("@covers a.b, C.d,e #x")["ids"] == ["a.b", "C.d", "e"] and parse("@covers #x") is None
     assert parse("@api POST /v1/x more")["path"] == "/v1/x" and parse("@api get /x") is None
     assert parse("plain prose @ here") is None
 
 
 def test_comment_styles(spark):
-    rows = [("a.ts", 'x = "// @testreg no" // @testreg yes\n/* @testreg one */ code\n/**\n * @testreg two\n */\n@testreg not.comment'), ("b.py", "x = 1  # @testreg py\n@testreg no"),
-            ("c.md", "@testreg no\n<!-- @testreg md -->\n<!--\n@testreg block\n-->"), ("d.txt", "// @testreg no"), ("e.go", None)]
+    rows = [("a.ts", 'x = "// @covers no" // @covers yes\n/* @covers one */ code\n/**\n * @covers two\n */\n@covers not.comment'), ("b.py", "x = 1  # @covers py\n@covers no"),
+            ("c.md", "@covers no\n<!-- @covers md -->\n<!--\n@covers block\n-->"), ("d.txt", "// @covers no"), ("e.go", None)]
     got = annotations.parse_annotations(spark.createDataFrame(rows, "file_path string, text string")).collect()
     assert sorted((r["file_path"], r["line"], r["ids"][0]) for r in got) == [("a.ts", 1, "yes"), ("a.ts", 2, "one"), ("a.ts", 4, "two"), ("b.py", 1, "py"), ("c.md", 2, "md"), ("c.md", 4, "block")]
 
