@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import paths
+from sextant.sources.storage import indexed
 
 
 def where_equal(df: DataFrame, **wanted: str | int | None) -> DataFrame:
@@ -104,10 +105,9 @@ def with_pattern(symbols_: DataFrame, matches: DataFrame, pattern: str) -> DataF
 
 def stale_sample(stored: DataFrame, current: DataFrame, n: int = 16) -> DataFrame:
     """A strided sample of up to ``n`` files and whether their hash changed or they are gone. The sample is the feature."""
-    ranked = stored.withColumn("_k", F.row_number().over(Window.orderBy("file_path")) - 1)
-    total = stored.agg(F.count(F.lit(1)).alias("_n"))
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / n))
-    picked = ranked.crossJoin(F.broadcast(total)).filter((F.col("_k") % step == 0) & (F.floor(F.col("_k") / step) < n))
+    rows, total = indexed(stored, "file_path", tag="stale-files")
+    step = max(1, total // n)
+    picked = rows.filter((F.col("_at") % step == 0) & (F.col("_at") < step * n))
     now = current.select("file_path", F.col("content_hash").alias("now_hash"))
     return picked.join(now, "file_path", "left").select("file_path", (~F.col("content_hash").eqNullSafe(F.col("now_hash"))).alias("stale"))
 

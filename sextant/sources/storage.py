@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 _scopes: list[str] = []
@@ -52,3 +53,24 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     path = new_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, *order: str | Column, tag: str) -> DataFrame:
+    """Sort globally by ranges of ``order`` and write the rows with ``_part`` (the range) and ``_row`` (the place in it).
+
+    Range and place together follow the global order. Nothing is gathered in one task: a hot leading
+    column is split as long as the whole order tells its rows apart.
+    """
+    out = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id())
+    return cut(out.withColumn("_part", F.shiftright("_mid", 33).cast("int")).withColumn("_row", F.col("_mid").bitwiseAND((1 << 33) - 1)).drop("_mid"), tag)
+
+
+def indexed(df: DataFrame, *order: str | Column, tag: str) -> tuple[DataFrame, int]:
+    """The rows with their place ``_at`` in the global order, from 0, and how many there are. The driver sees a count per range."""
+    rows, run, before = numbered(df, *order, tag=tag), 0, []
+    for part, n in sorted(map(tuple, rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())):
+        before.append((part, run))
+        run += n
+    offsets = df.sparkSession.createDataFrame(before, "_part int, _before long")
+    # one row per range of the sort
+    return rows.join(F.broadcast(offsets), "_part").withColumn("_at", F.col("_before") + F.col("_row")).drop("_part", "_row", "_before"), run
