@@ -137,7 +137,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     # places in the text, from places among the lines with a word
     gone = gone.groupBy("_row_id").agg(F.collect_list("idx").alias("gone"))
     text = F.col(f"_doc.`{text_col}`")
-    joined = base.join(gone, "_row_id", "left").withColumn("_lines", F.split(F.coalesce(text, F.lit("")), "\n"))
+    # grows with the input: never broadcast
+    joined = base.join(gone.hint("merge"), "_row_id", "left").withColumn("_lines", F.split(F.coalesce(text, F.lit("")), "\n"))
     joined = joined.withColumn("_worded", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.get(F.col("_lines"), i).rlike(common.WORD)))
     drop = F.transform("gone", lambda i: F.get(F.col("_worded"), i))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), drop)

@@ -141,7 +141,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     base = common.cut(packed, "mix-rows")
     slim = base.select("_row_id", F.col("_doc.doc_id").alias("_id"), F.col("_doc.source").alias("_source"), word_count(F.col("_doc.text")).alias("_size"))
     taken = mix(slim, WEIGHTS, SHARE).filter("_copies > 0").select("_row_id", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return base.join(taken, "_row_id").select("_doc.*")
+    return base.join(taken.hint("merge"), "_row_id").select("_doc.*")  # grows with the input: never broadcast
 
 
 ORACLE = r"""

@@ -114,7 +114,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
     order = F.struct(F.col("_own").isNull().alias("none"), F.col("_own").alias("own"), F.col("_row_id").alias("row"))
     slim = slim.select("_fp", order.alias("_id"))
     kept = classes(slim, bucket).select(F.col("component_id.row").alias("_row_id")).distinct()
-    return base.join(kept, "_row_id", "left_semi").select("_doc.*")
+    return base.join(kept.hint("merge"), "_row_id", "left_semi").select("_doc.*")  # grows with the input: never broadcast
 
 
 def query(spark, sf_dir: str) -> DataFrame:
