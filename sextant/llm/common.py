@@ -5,23 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.sources.storage import cut, new_path, shared_dir  # noqa: F401
+from sextant.sources.storage import cut, indexed, new_path, numbered, shared_dir  # noqa: F401
 
 #: White space of the contracts: space and U+0009..U+000D. A word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-def numbered(df: DataFrame, *order: str | Column, tag: str) -> DataFrame:
-    """Sort globally by ranges of ``order`` and write the rows with ``_part`` (the range) and ``_row`` (the place in it).
-
-    Range and place together follow the global order. Nothing is gathered in one task: a hot leading
-    column is split as long as the whole order tells its rows apart.
-    """
-    mid = F.monotonically_increasing_id()
-    out = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", mid)
-    return cut(out.withColumn("_part", F.shiftright("_mid", 33).cast("int")).withColumn("_row", F.col("_mid").bitwiseAND((1 << 33) - 1)).drop("_mid"), tag)
-
-
 def words(text: Column) -> Column:
     """The words of a text as an array; null gives an empty one."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -6,7 +6,7 @@ fullest combination for the rest. That combination stays the fullest feasible on
 short, so it is repeated that often at once, and removed; every step runs a length short, so there are few steps.
 
 Documents are then numbered within their length by one global range sort of slim rows, and a step's share of each
-length is a range of these numbers: a range join with the plan gives sequence and offset. Nothing is gathered in
+length is a range of these numbers: a binary search in the plan gives sequence and offset. Nothing is gathered in
 one task, and a length that a third of all pieces share is spread over many ranges.
 """
 
@@ -86,28 +86,24 @@ def pack(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ()
     ties are broken by place. An empty table gives an empty result.
     """
     spark = items.sparkSession
-    sorted_items = common.numbered(items, "_length", *order, tag="pack-items")
-    hist = {r["_length"]: r["n"] for r in sorted_items.groupBy("_length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = sorted_items.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()
-    run, before = 0, []
-    for r in sorted(parts, key=lambda r: r["_part"]):
-        before.append((r["_part"], run))
-        run += r["n"]
+    at, _ = common.indexed(items, "_length", *order, tag="pack-items")
+    hist = {r["_length"]: r["n"] for r in at.groupBy("_length").agg(F.count(F.lit(1)).alias("n")).collect()}
     starts, run = {}, 0
     for x in sorted(hist):
         starts[x] = run
         run += hist[x]
-    rows = [(x, starts[x] + a, starts[x] + b, n, s, o) for x, a, b, n, s, o, _ in layout(plan(hist, capacity))]
-    table = spark.createDataFrame(rows, "_len int, _first long, _end long, _per long, _seq long, _off int")
-    offset = spark.createDataFrame(before, "_part int, _before long")
-    # one row per range of the sort; at most a few rows per length
-    at = sorted_items.join(F.broadcast(offset), "_part").withColumn("_at", F.col("_before") + F.col("_row"))
-    hit = (F.col("_length") == F.col("_len")) & (F.col("_at") >= F.col("_first")) & (F.col("_at") < F.col("_end"))
-    out = at.join(F.broadcast(table), hit)
-    k = F.col("_at") - F.col("_first")
-    return out.withColumns({
-        "sequence_id": F.col("_seq") + F.floor(k / F.col("_per")), "offset": F.col("_off") + (k % F.col("_per")) * F.col("_length"),
-    }).drop("_part", "_row", "_before", "_at", "_len", "_first", "_end", "_per", "_seq", "_off")
+    # ranges of the global numbers, one after another: a step's share of a length
+    ranges = np.array(sorted((starts[x] + a, n, s, o, x) for x, a, _, n, s, o, _ in layout(plan(hist, capacity))), dtype=np.int64).reshape(-1, 5)
+    shared = spark.sparkContext.broadcast(ranges)  # a few rows per step and length, whatever the input
+
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(at: pd.Series) -> pd.DataFrame:
+        table, at = shared.value, at.to_numpy()
+        first, per, sequence, offset, length = table[np.searchsorted(table[:, 0], at, side="right") - 1].T
+        k = at - first
+        return pd.DataFrame({"sequence_id": sequence + k // per, "offset": offset + k % per * length})
+
+    return at.withColumn("_to", place("_at")).select("*", "_to.*").drop("_at", "_to")
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:

@@ -114,8 +114,9 @@ def apply_policy(led: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, with their own columns only."""
-    return common.where(ledger(docs), policy.keeps(F.col("_bits"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that the policy keeps, with their own columns as they are, whatever their names."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text"))
+    return common.where(ledger(packed), policy.keeps(F.col("_bits"))).select("_doc.*")
 
 
 def ablations(led: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
