@@ -8,13 +8,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sextant.functions import paths
+from sextant.operators import coverage, legacy, resolve
 from sextant.operators import graph as G
 from sextant.operators import ingest as I
-from sextant.operators import legacy, resolve
 from sextant.operators.lookup import where_equal
 from sextant.operators.scoring import feature_gaps
+from sextant.plans import verbs
 from sextant.plans.registry import query
-from sextant.sources import annotations, files, reports
+from sextant.sources import annotations, files, reports, scans
 
 _ACTION = "CASE event_type WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'skip' WHEN 'view' THEN 'pass' WHEN 'click' THEN 'output' ELSE 'run' END"
 
@@ -404,3 +405,67 @@ def _(t):
 @query("c15_dot_lines", """SELECT '"' || src || '" -> "' || dst || '" [label="' || kind || '"];' AS line FROM edges WHERE seq < 500""")
 def _(t):
     return legacy.to_dot(t.edges.filter("seq < 500"))
+
+
+# --- scans and verbs -------------------------------------------------------------------------------------------
+
+
+def _scans(t):
+    """Scan documents: one per nation, with the symbols of its customers and an edge from each to the next."""
+    s = t.customer.selectExpr("c_nationkey AS scan", """named_struct('id', 'fn' || c_custkey, 'kind', CASE c_custkey % 3 WHEN 0 THEN 'func' WHEN 1 THEN 'handler' ELSE 'type' END, 'package', 'p',
+      'position', named_struct('path', 'f' || (c_custkey % 9) || '.py', 'line', CAST(c_custkey % 50 AS int))) AS s""",
+      "named_struct('from', 'fn' || c_custkey, 'to', 'fn' || (c_custkey + 1), 'kind', CASE c_custkey % 2 WHEN 0 THEN 'import' ELSE 'odd' END, 'line', 3, 'meta', CASE c_custkey % 4 WHEN 0 THEN 'module' ELSE 'weird' END) AS e")
+    doc = F.to_json(F.struct(F.lit("/r").alias("root"), F.struct(F.collect_list("e").alias("edges")).alias("graph"), F.collect_list("s").alias("symbols"), F.lit(None).cast("map<string,string>").alias("file_hashes")))
+    return s.groupBy("scan").agg(doc.alias("text"))
+
+
+@query("s12_scan_symbols", """
+SELECT c_nationkey AS scan, 'fn' || c_custkey AS qualified_name, CASE c_custkey % 3 WHEN 2 THEN 'type' ELSE 'func' END AS kind, 'f' || (c_custkey % 9) || '.py' AS file_path, (c_custkey % 50)::INT AS line FROM customer""")
+def _(t):
+    return scans.read_index(_scans(t))["symbols"].select("scan", "qualified_name", "kind", "file_path", "line")
+
+
+@query("s12_scan_edges", """
+SELECT c_nationkey AS scan, 'fn' || c_custkey AS source, 'fn' || (c_custkey + 1) AS target, CASE c_custkey % 2 WHEN 0 THEN 'import' ELSE 'call' END AS kind, CASE WHEN c_custkey % 4 = 0 THEN 'module' END AS edge_meta FROM customer""")
+def _(t):
+    return scans.read_index(_scans(t))["edges"].select("scan", "source", "target", "kind", "edge_meta")
+
+
+@query("c10_assigned_notes", """
+SELECT a.id, min('fn' || s.id) AS function FROM annotations a LEFT JOIN symbols s ON s.file_path = a.file_path AND s.line = a.line + 1 GROUP BY a.id""")
+def _(t):
+    names = t.symbols.select("file_path", "line", F.concat(F.lit("fn"), "id").alias("name"))
+    return scans.assigned(t.annotations.select("id", "file_path", "line"), names).select("id", "function")
+
+
+@query("k12_rewritten_marks", "SELECT 'src/f' || p_partkey || '.go' AS file_path, 5 AS line, ' * @note:feature one.' || p_partkey || ',two #tag' AS after FROM part")
+def _(t):
+    return scans.rewritten_marks(files.lines(_sources(t)), "@covers", "@note:").select("file_path", "line", "after")
+
+
+@query("c01_c02_dead", """
+SELECT s.id, s.qualified_name FROM symbols s WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = s.id AND e.kind = 'call') AND starts_with(s.file_path, 'src/contexts/bc3')""")
+def _(t):
+    return verbs.dead(t, "CALL", include_tests=True, prefix="src/contexts/bc3").select("id", "qualified_name")
+
+
+@query("c03_cycles")
+def _(t):
+    return verbs.cycles(t, "module")
+
+
+@query("c04_trace_feature", """
+WITH RECURSIVE hop AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'call'), w AS (
+  SELECT DISTINCT symbol_id AS id, 0 AS depth FROM feature_symbols WHERE feature_id = 'f7' UNION SELECT h.dst, w.depth + 1 FROM w JOIN hop h ON h.src = w.id WHERE w.depth < 2) SELECT * FROM w""")
+def _(t):
+    return verbs.trace(t, "feature:f7", 2)
+
+
+@query("c05_contracts", "SELECT id, qualified_name FROM symbols WHERE kind = 'interface'")
+def _(t):
+    return verbs.contracts(t.symbols, "interface").select("id", "qualified_name")
+
+
+@query("c08_report", "SELECT domain, count(DISTINCT feature_id) AS features, count(*) FILTER (WHERE status = 'covered') AS slots_covered FROM slots GROUP BY domain")
+def _(t):
+    return coverage.registry_metrics(t.slots).filter("level = 'domain'").select(F.col("name").alias("domain"), "features", "slots_covered")
