@@ -3,7 +3,7 @@
 import duckdb
 import pandas as pd
 import pytest
-from conftest import DATA
+from support import DATA
 
 import __spark_entry__
 

@@ -1,5 +1,5 @@
 import pytest
-from conftest import DATA
+from support import DATA
 
 from sextant.plans import verbs
 from sextant.plans.derived import NOW_US, Tables
