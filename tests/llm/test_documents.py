@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import ODD, passage
+from llm_support import ODD, passage
 from pyspark.sql import functions as F
 
 from sextant.llm import common, golay, language_id, line_dedup, media, mixing, packing, quality_classifier, quality_rules, simhash_dedup, tokens
