@@ -353,7 +353,7 @@ def _(t):
     return tests.join(found, "file_path").select("file_path", "i", "n")
 
 
-@query("r26_feature_page", "SELECT seq, feature_id, priority FROM registry WHERE contains(feature_id, 'e') AND floor(health * 100) BETWEEN 50 AND 79 ORDER BY seq LIMIT 15 OFFSET 15")
+@query("r26_feature_page", "SELECT seq, feature_id, priority FROM registry WHERE (contains(feature_id, 'e') OR contains(priority, 'e')) AND floor(health * 100) BETWEEN 50 AND 79 ORDER BY seq LIMIT 15 OFFSET 15")
 def _(t):
     return legacy.feature_table(t.registry, text="E", band="at-risk", page=2).select("seq", "feature_id", "priority")
 
