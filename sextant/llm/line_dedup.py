@@ -116,6 +116,7 @@ def later_copies(pos: DataFrame, ranks: DataFrame) -> DataFrame:
     keyed = blocks.join(a, ["level", "start"]).withColumn("last", last).join(b, ["level", "last"]).select("_row_id", "start", "idx", "len", "ra", "rb")
     keyed = common.cut(keyed, "line-blocks")
     first = keyed.groupBy("len", "ra", "rb").agg(F.min("start").alias("first"), F.max("start").alias("final")).filter("first < final").drop("final")
+    first = common.cut(first, "line-first")  # written, both sides of the join are shuffled for it, so that a hot block can be split
     return keyed.join(first, ["len", "ra", "rb"]).filter("start > first").select("_row_id", "idx", "len")
 
 
