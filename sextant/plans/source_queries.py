@@ -14,8 +14,9 @@ from sextant.operators import ingest as I
 from sextant.operators.lookup import where_equal
 from sextant.operators.scoring import feature_gaps
 from sextant.plans import verbs
+from sextant.plans.derived import DAY_US, NOW_US
 from sextant.plans.registry import query
-from sextant.sources import annotations, files, reports, scans
+from sextant.sources import annotations, declarations, files, reports, scans
 
 _ACTION = "CASE event_type WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'skip' WHEN 'view' THEN 'pass' WHEN 'click' THEN 'output' ELSE 'run' END"
 
@@ -469,3 +470,48 @@ def _(t):
 @query("c08_report", "SELECT domain, count(DISTINCT feature_id) AS features, count(*) FILTER (WHERE status = 'covered') AS slots_covered FROM slots GROUP BY domain")
 def _(t):
     return coverage.registry_metrics(t.slots).filter("level = 'domain'").select(F.col("name").alias("domain"), "features", "slots_covered")
+
+
+def _go_files(t):
+    text = r"""concat('package p', p_partkey % 3, '\n\ntype Repo', p_partkey, ' struct {\n}\n\ntype Store interface {\n}\n\nfunc (r *Repo', p_partkey, ') Get(id int) error {\nfunc New() *X {\n  r.Get("/v', p_partkey, '/items", mw.Wrap(h.List))\n
+      wire.Bind(new(db.Store), new(*Repo', p_partkey, '))\n  fx.Annotate(pg.NewRepo', p_partkey, ', fx.As(new(db.Other)))\n  huma.Register(api, huma.Operation{\n OperationID: "op', p_partkey, '",\n Method: http.MethodPost, Path: "/o"}, h.Op)\n') AS text"""
+    return t.part.selectExpr("'f' || p_partkey || '.go' AS file_path", text)
+
+
+@query("s11_go_symbols", """
+SELECT 'f' || p_partkey || '.go' AS file_path, v.line, CASE v.line WHEN 3 THEN 'p' || (p_partkey % 3) || '.Repo' || p_partkey WHEN 6 THEN 'p' || (p_partkey % 3) || '.Store' WHEN 9 THEN 'Repo' || p_partkey || '.Get' ELSE 'p' || (p_partkey % 3) || '.New' END AS qualified_name, v.kind
+FROM part CROSS JOIN (SELECT * FROM (VALUES (3, 'type'), (6, 'interface'), (9, 'method'), (10, 'func')) x(line, kind)) v""")
+def _(t):
+    return declarations.go_symbols(_go_files(t))
+
+
+@query("s12_ts_symbols", """
+SELECT 'f' || p_partkey || '.tsx' AS file_path, v.line, v.name || CASE WHEN v.line = 1 THEN p_partkey::VARCHAR ELSE '' END AS name, v.kind FROM part CROSS JOIN (SELECT * FROM (VALUES (1, 'load', 'func'), (2, 'Button', 'func'), (3, 'Props', 'interface'), (4, 'Api', 'type')) x(line, name, kind)) v""")
+def _(t):
+    text = "'export async function load' || p_partkey || '() {}\\nexport const Button: FC<P> = ({ a }) => 1\\nexport interface Props {}\\nexport class Api {}\\nconst x = 1\\nfunction hidden() {}' AS text"
+    return declarations.ts_symbols(t.part.selectExpr("'f' || p_partkey || '.tsx' AS file_path", text))
+
+
+@query("s14_http_routes", "SELECT 'f' || p_partkey || '.go' AS file_path, 'GET' AS method, '/v' || p_partkey || '/items' AS path, 'h.List' AS handler FROM part")
+def _(t):
+    return declarations.http_routes(_go_files(t)).select("file_path", "method", "path", "handler")
+
+
+@query("s14_operations", "SELECT 'f' || p_partkey || '.go' AS file_path, 'op' || p_partkey AS operation_id, 'POST' AS method, '/o' AS path, 'h.Op' AS handler FROM part")
+def _(t):
+    return declarations.operations(_go_files(t)).select("file_path", "operation_id", "method", "path", "handler")
+
+
+@query("s21_bindings", "SELECT 'Store' AS interface, 'Repo' || p_partkey AS concrete FROM part UNION ALL SELECT 'Other', 'pg.Repo' || p_partkey FROM part")
+def _(t):
+    return declarations.bindings(_go_files(t))
+
+
+@query("k07_audit_history", "SELECT id, finished_us FROM coverage_runs ORDER BY finished_us DESC, id DESC LIMIT 5")
+def _(t):
+    return t.coverage_runs.orderBy(F.desc("finished_us"), F.desc("id")).limit(5).select("id", "finished_us")
+
+
+@query("c06_stale_features", "SELECT id FROM features WHERE updated_us < NOW_US - 30 * DAY_US")
+def _(t):
+    return t.features.filter(F.col("updated_us") < NOW_US - verbs.Config().freshness_days * DAY_US).select("id")
