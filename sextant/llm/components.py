@@ -14,7 +14,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if not large:
         both = both.filter("v < u")
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    out = both.join(least, "u")
+    # written, both sides of the join are shuffled for it, so that the rows of a hot node can be split
+    out = both.join(common.cut(least, "star"), "u")
     if large:
         return out.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v")

@@ -72,7 +72,8 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links (u, v) between the distinct fingerprints of ``fps`` (_fp), complete up to connection."""
     keyed = common.cut(fps.mapInPandas(_keys, "key long, _fp long"), "simhash-keys")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # written, both sides of the join are shuffled for it, so that a hot key can be split
+    sizes = common.cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-sizes")
     shared = common.cut(keyed.join(sizes, "key"), "simhash-buckets")
     near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= DISTANCE
     few = shared.filter(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("_fp").alias("m"))
@@ -92,7 +93,7 @@ def classes(slim: DataFrame, bucket: int = BUCKET) -> DataFrame:
     roots = common.cut(components(links(fps.select("_fp"), bucket), "simhash-links"), "simhash-roots")
     linked = fps.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").withColumn("root", F.coalesce("root", "_fp"))
     linked = common.cut(linked, "simhash-members")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = common.cut(linked.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
     return linked.join(least, "root").select("_fp", "component_id")
 
 

@@ -45,6 +45,7 @@ def verdicts(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Revisits among headers (_page, _digest, _bytes): rows (_page, _digest, _original), one per page and payload."""
     pages = heads.filter(F.col("_bytes") >= min_bytes).groupBy("_digest", "_page").agg(F.lit(1).alias("one")).drop("one")
     first = pages.groupBy("_digest").agg(F.min("_page").alias("_original"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    first = common.cut(first, "warc-first")  # written, both sides of the join are shuffled for it, so that a hot payload can be split
     return pages.join(first, "_digest").filter(~F.col("_page").eqNullSafe(F.col("_original")))
 
 
@@ -128,6 +129,7 @@ def resolve(read: DataFrame) -> DataFrame:
     response = slim.filter("record_type = 'response'")
     originals = response.groupBy(F.col("record_id").alias("refers_id")).agg(
         F.first("page_id").alias("refers_to"), F.first("payload_bytes").alias("full"), F.first("computed").alias("seen"))
+    originals = common.cut(originals, "warc-originals")
     revisit = slim.filter("record_type = 'revisit'").join(originals, "refers_id", "left")
     none = F.lit(None).cast("long")
     return response.select("page_id", "payload_bytes", F.col("computed").alias("payload_digest"), "record_type", none.alias("refers_to")).unionByName(
