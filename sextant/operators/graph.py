@@ -67,10 +67,36 @@ def feature_trace(edges: DataFrame, links: DataFrame, depth: int) -> DataFrame:
     return roots.select("id", F.lit(0).alias("depth")).unionByName(near).distinct()
 
 
-def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 10_000, tag: str = "reach") -> DataFrame:
-    """Nodes that ``roots`` (id) reach, with their least distance: breadth first, each node visited once."""
+#: Up to so many edges a graph is counted as small, and one task does in one pass what a loop does in many rounds.
+SMALL = 500_000
+
+
+def _breadth_first(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Distances of one task's graph; rows without a ``dst`` are the roots."""
+    near: dict[int, list[int]] = defaultdict(list)
+    is_root = pdf["dst"].isna()
+    for s, d in zip(pdf.loc[~is_root, "src"].tolist(), pdf.loc[~is_root, "dst"].astype("int64").tolist()):
+        near[s].append(d)
+    distance = dict.fromkeys(pdf.loc[is_root, "src"].tolist(), 0)
+    front, k = list(distance), 0
+    while front:
+        k += 1
+        front = [d for d in dict.fromkeys(d for s in front for d in near.get(s, ())) if d not in distance]
+        distance |= dict.fromkeys(front, k)
+    return pd.DataFrame({"id": list(distance), "distance": list(distance.values())}).astype({"distance": "int32"})
+
+
+def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 10_000, tag: str = "reach", small: int = SMALL) -> DataFrame:
+    """Nodes that ``roots`` (id) reach, with their least distance: breadth first, each node visited once.
+
+    A graph of up to ``small`` distinct edges and roots, counted first, is done in one task, others round by round.
+    """
     hop = cut(edges.select("src", "dst").distinct(), tag)
-    seen = cut(roots.select("id").distinct().withColumn("distance", F.lit(0)), tag)
+    begin = cut(roots.select("id").distinct(), tag)
+    if small and hop.count() + begin.count() <= small:
+        both = hop.unionByName(begin.select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"))).withColumn("_all", F.lit(0))
+        return both.groupBy("_all").applyInPandas(_breadth_first, "id long, distance int").filter(F.col("distance") <= rounds)
+    seen = begin.withColumn("distance", F.lit(0))
     front = seen
     for k in range(1, rounds + 1):
         step = front.select(F.col("id").alias("src")).join(hop, "src").select(F.col("dst").alias("id")).distinct()
@@ -174,10 +200,6 @@ def paths_to(edges: DataFrame, names: DataFrame, target: int, hint: str = "", de
     return ends.orderBy(prefer, route, F.desc(F.size("path")), "name").limit(1).select("id", "name", "path")
 
 
-#: Up to so many edges a graph is counted as small, and one task does in one pass what the loop does in many.
-SMALL = 500_000
-
-
 def _tarjan(pdf: pd.DataFrame) -> pd.DataFrame:
     """Components of one task's edges by depth-first search with low links, without recursion."""
     near: dict[int, list[int]] = defaultdict(list)
@@ -241,7 +263,7 @@ def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
         inside = cut(inside.select("src", "dst", F.col("a").alias("c")), "scc")
         back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         roots = inside.select(F.col("c").alias("id")).distinct()
-        found = reachable(back, roots, tag="scc").select(F.col("id").alias("node"))
+        found = reachable(back, roots, tag="scc", small=0).select(F.col("id").alias("node"))
         found = cut(found.join(colour, "node").withColumnRenamed("c", "component"), "scc")
         out = found if out is None else out.unionByName(found)
         gone = found.select("node")

@@ -15,6 +15,11 @@ def _roots(t, n: int = 3):
     return t.symbols.filter(f"id % 500 < {n}").select("id")
 
 
+def text_ordered(cycles):
+    """Cycles with their nodes in the order of texts, as the SQL has them."""
+    return cycles.withColumn("nodes", F.array_join(F.array_sort(F.split("nodes", ",")), ","))
+
+
 def _module(t):
     return t.edges.filter("kind = 'import' AND edge_meta = 'module'")
 
@@ -101,13 +106,15 @@ def _(t):
     return G.strong_components(_module(t), small=0)
 
 
-@query("g09_module_cycles", _CLOSURE.format(_MODULE) + f"""
+MODULE_CYCLES = _CLOSURE.format(_MODULE) + f"""
 SELECT c.component, count(DISTINCT c.node) AS n_nodes, any_value(k.n) AS n_edges, string_agg(DISTINCT c.node::VARCHAR, ',' ORDER BY c.node::VARCHAR) AS nodes FROM c
 JOIN (SELECT x.component, count(*) AS n FROM ({_MODULE}) e JOIN c x ON x.node = e.src JOIN c y ON y.node = e.dst AND x.component = y.component GROUP BY x.component) k ON k.component = c.component
-GROUP BY c.component""")
+GROUP BY c.component"""
+
+
+@query("g09_module_cycles", MODULE_CYCLES)
 def _(t):
-    out = G.cycles(_module(t))
-    return out.withColumn("nodes", F.array_join(F.array_sort(F.split("nodes", ",")), ","))
+    return text_ordered(G.cycles(_module(t)))
 
 
 @query("g11_cycle_walks")

@@ -15,6 +15,7 @@ from sextant.operators.lookup import where_equal
 from sextant.operators.scoring import feature_gaps
 from sextant.plans import verbs
 from sextant.plans.derived import DAY_US, NOW_US
+from sextant.plans.graph_queries import MODULE_CYCLES, text_ordered
 from sextant.plans.registry import query
 from sextant.sources import annotations, declarations, files, reports, scans
 
@@ -450,9 +451,9 @@ def _(t):
     return verbs.dead(t, "CALL", include_tests=True, prefix="src/contexts/bc3").select("id", "qualified_name")
 
 
-@query("c03_cycles")
+@query("c03_cycles", MODULE_CYCLES)
 def _(t):
-    return verbs.cycles(t, "module")
+    return text_ordered(verbs.cycles(t, "module"))
 
 
 @query("c04_trace_feature", """

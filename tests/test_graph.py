@@ -92,7 +92,10 @@ def test_chain_to_a_target(spark, edges):
 
 def test_reach_and_merge(spark, edges):
     g = edges([(1, 2), (2, 3), (3, 1), (5, 6)])
-    assert dict(G.reachable(g, ids(spark, 1)).collect()) == {1: 0, 2: 1, 3: 2}
+    for small in (0, 100):
+        assert dict(G.reachable(g, ids(spark, 1), small=small).collect()) == {1: 0, 2: 1, 3: 2}
+        assert dict(G.reachable(g, ids(spark, 1, 5), rounds=1, small=small).collect()) == {1: 0, 2: 1, 5: 0, 6: 1}
+        assert G.reachable(g, ids(spark, 1).limit(0), small=small).count() == 0
     merged = G.merge_nodes(g, spark.createDataFrame([(5, 1)], "old long, new long"))
     assert {(r["src"], r["dst"]) for r in merged.collect()} == {(1, 2), (2, 3), (3, 1), (1, 6)}
 
