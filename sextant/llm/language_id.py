@@ -8,6 +8,10 @@ than ``reject`` of the training sample is told as rejected.
 Document frequencies are counted over all training rows, as one vector per task that is summed per dimension.
 The sample has at most ``SAMPLE`` texts per language, chosen by a hash of the id, whatever the input; only its
 sparse vectors reach the driver. The model has a fixed number of dimensions, so it is small, whatever the input.
+
+Null texts and texts without a letter are ``und`` with score 0; so is every text if nothing was learned. Training rows
+with null language or text are left out; ids may be null or repeat, ties in the sample are broken by id and text.
+Repeated rows are predicted alike, texts of any length as a whole, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
