@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sextant.sources.storage import ship
+
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: 2024-02-01 00:00 UTC, the reference time of all queries, just after the last event.
@@ -120,6 +122,7 @@ class Tables:
     """Driver tables and derived views of one folder, by attribute, each made when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        ship(spark)
         self.spark, self.sf_dir = spark, sf_dir
         self._made: dict[str, DataFrame] = {}
 
