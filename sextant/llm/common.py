@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.sources.storage import cut, indexed, new_path, numbered, shared_dir  # noqa: F401
+from sextant.sources.storage import cut, indexed, new_path, numbered, shared_dir, ship  # noqa: F401
 
 #: White space of the contracts: space and U+0009..U+000D. A word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -34,6 +34,7 @@ def where(df: DataFrame, cond: Column) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     """A driver table."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
