@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sextant.sources.storage import cut
+
 
 def not_ignored(df: DataFrame, path: str, globs: list[str], prefixes: list[str]) -> DataFrame:
     """Rows whose path matches no glob (``*`` matches anything) and starts with no prefix."""
@@ -64,19 +66,21 @@ def resolve_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     ids = nodes.select(F.col("id").alias("_id")).distinct()
     inits = nodes.filter("kind = 'module' AND (file = '__init__.py' OR file LIKE '%/\\_\\_init\\_\\_.py')").select("id")
-    local = indexed(nodes)
+    # used by several tiers: written once, so that the plan stays small
+    local = cut(indexed(nodes), "resolve-local")
     known = local.select("module").unionByName(inits.select(F.col("id").alias("module"))).distinct()
     packages = package_of(edges.select(F.col("source").alias("module")).unionByName(known), inits)
     imports = _imports(edges, packages)
     popular = imports.join(ids, F.col("qualified") == F.col("_id"), "left_semi").groupBy("qualified").agg(F.count(F.lit(1)).alias("n"))
     alias = imports.filter("scope IS NULL OR scope IN ('', 'module')").groupBy("source", "bound").agg(F.max_by("qualified", "seq").alias("q"))
+    alias = cut(alias, "resolve-alias")
 
     # the caller's module: its longest prefix that is one, else the part before its last dot
     callers = edges.select("source").distinct().withColumn("_p", F.split("source", r"\."))
     prefix = callers.select("source", F.explode(F.transform(F.sequence(F.lit(0), F.size("_p") - 1), lambda n: F.array_join(F.slice("_p", F.lit(1), n), "."))).alias("module"))
     enclosing = prefix.join(known, "module").groupBy("source").agg(F.max_by("module", F.length("module")).alias("inside"))
     callers = callers.join(enclosing, "source", "left").select("source", F.coalesce("inside", F.when(F.col("source").contains("."), parent(F.col("source"))).otherwise(F.col("source"))).alias("module"))
-    callers = callers.join(package_of(callers, inits), "module", "left")
+    callers = cut(callers.join(package_of(callers, inits), "module", "left"), "resolve-callers")
 
     tails = F.transform(F.sequence(F.lit(2), F.size("_p") - 1), lambda n: F.array_join(F.slice("_p", n, F.size("_p")), "."))
     suffix = nodes.filter("id <> ''").withColumn("_p", F.split("id", r"\.")).filter(F.size("_p") >= 3).select("id", F.explode(tails).alias("target"))

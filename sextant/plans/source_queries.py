@@ -250,18 +250,38 @@ def _python(t):
     return nodes, calls.unionByName(imports)
 
 
-@query("r20_resolve_names")
+# what each target must become, stated from how the tree is made
+_RESOLVED = """
+c AS (SELECT p_partkey AS seq, p_partkey % 6 AS t, p_partkey % 50 AS i, 'app.p' || (p_partkey % 50 % 5) AS pkg, p_partkey % 48 - p_partkey % 4 AS k FROM part WHERE p_partkey < 400),
+calls AS (SELECT seq, pkg || '.m' || i || '.run' AS source, CASE t WHEN 0 THEN 'app.p1.m1.run' WHEN 1 THEN 'run' WHEN 2 THEN 'm' || i || '.run' WHEN 3 THEN 'helper.x' WHEN 4 THEN 'only' || k ELSE 'os.path' END AS target,
+  CASE t WHEN 0 THEN 'app.p1.m1.run' WHEN 1 THEN pkg || '.m' || i || '.run' WHEN 2 THEN pkg || '.m' || i || '.run' WHEN 3 THEN CASE WHEN i % 2 = 1 THEN pkg || '.m' || (i - 1) || '.helper' ELSE 'helper.x' END
+    WHEN 4 THEN CASE WHEN k % 5 = i % 5 THEN pkg || '.m' || k || '.only' || k ELSE 'only' || k END ELSE 'os.path' END AS resolved,
+  CASE t WHEN 0 THEN 'id' WHEN 1 THEN 'module' WHEN 2 THEN 'suffix' WHEN 3 THEN CASE WHEN i % 2 = 1 THEN 'alias' ELSE 'none' END WHEN 4 THEN CASE WHEN k = i THEN 'module' WHEN k % 5 = i % 5 THEN 'sibling' ELSE 'none' END ELSE 'none' END AS tier FROM c),
+found AS (SELECT * FROM calls UNION ALL SELECT 1000 + p_partkey, 'app.p' || (p_partkey % 5) || '.m' || p_partkey, '.m' || (p_partkey - 1) || '.helper', '.m' || (p_partkey - 1) || '.helper', 'none' FROM part WHERE p_partkey < 50 AND p_partkey % 2 = 1)"""
+
+
+@query("r20_resolve_names", f"WITH {_RESOLVED} SELECT * FROM found")
 def _(t):
     return resolve.resolve_names(*_python(t)).select("seq", "source", "target", "resolved", "tier")
 
 
-@query("r21_stubs")
+@query("r21_stubs", f"WITH {_RESOLVED} SELECT DISTINCT resolved AS id, 'external' AS kind, 'external:py' AS file FROM found WHERE tier IN ('none', 'alias')")
 def _(t):
     nodes, edges = _python(t)
     return resolve.stubs(resolve.resolve_names(nodes, edges), nodes)
 
 
-@query("r22_resolve_calls")
+@query("r22_resolve_calls", """
+WITH c AS (SELECT p_partkey AS seq, 'Svc' || (p_partkey % 4) AS receiver, CASE p_partkey % 3 WHEN 0 THEN 'repo' WHEN 1 THEN 'store' ELSE 'misc' END AS variable, 'Get' || (p_partkey % 5) AS method FROM part WHERE p_partkey < 200),
+f AS (SELECT id, min(path) AS path, split_part(id, '.', 1) AS type, split_part(id, '.', 2) AS m FROM (
+  SELECT CASE p_partkey % 5 WHEN 0 THEN 'UserRepo' WHEN 1 THEN 'PgStore' ELSE 'miscThing' || (p_partkey % 5) END || '.Get' || (p_partkey % 7) AS id, 'internal' AS path FROM part WHERE p_partkey < 25) GROUP BY id),
+t AS (SELECT c.*, CASE WHEN variable = 'repo' THEN 'UserRepo' WHEN variable = 'store' AND receiver <> 'Svc3' THEN 'db.Store' END AS ft FROM c),
+k AS (SELECT t.*, coalesce(ft, variable) || '.' || method AS direct, CASE WHEN ft = 'db.Store' THEN 'PgStore.' || method END AS bound, lower(coalesce(split_part(ft, '.', -1), variable)) AS part FROM t),
+r AS (SELECT k.*, EXISTS (SELECT 1 FROM f WHERE id = direct) AS is_direct, EXISTS (SELECT 1 FROM f WHERE id = bound) AS is_bound,
+  (SELECT count(*) FROM f WHERE f.m = k.method AND contains(lower(f.type), k.part)) AS n, (SELECT min(id) FROM f WHERE f.m = k.method AND contains(lower(f.type), k.part)) AS any_id FROM k),
+x AS (SELECT *, CASE WHEN is_direct THEN direct WHEN is_bound THEN bound WHEN n = 1 THEN any_id END AS found FROM r)
+SELECT seq, coalesce(found, CASE WHEN ft IS NOT NULL THEN direct ELSE any_id END) AS callee, NOT CASE WHEN ft IS NOT NULL THEN found IS NOT NULL ELSE is_direct END AS ambiguous
+FROM x WHERE coalesce(found, CASE WHEN ft IS NOT NULL THEN direct ELSE any_id END) IS NOT NULL""")
 def _(t):
     p = t.part.filter("p_partkey < 200")
     calls = p.selectExpr("p_partkey AS seq", "'Svc' || (p_partkey % 4) AS receiver", "CASE p_partkey % 3 WHEN 0 THEN 'repo' WHEN 1 THEN 'store' ELSE 'misc' END AS variable", "'Get' || (p_partkey % 5) AS method")
@@ -270,7 +290,11 @@ def _(t):
     return resolve.resolve_calls(calls, functions, fields, t.spark.createDataFrame([("Store", "*pg.PgStore")], "interface string, concrete string"))
 
 
-@query("r23_merge_placeholders")
+@query("r23_merge_placeholders", """
+WITH f AS (SELECT 'H' || p_partkey || '.M' || (p_partkey % 5) AS id, 'M' || (p_partkey % 5) AS m, p_partkey % 2 = 0 AS good FROM part WHERE p_partkey < 8),
+one AS (SELECT m, count(*) FILTER (WHERE good) AS n_good, min(id) FILTER (WHERE good) AS good_id, count(*) AS n, min(id) AS any_id FROM f GROUP BY m),
+e AS (SELECT 'route' || p_partkey AS src, 'M' || (p_partkey % 6) AS m FROM part WHERE p_partkey < 60)
+SELECT e.src, CASE WHEN n_good = 1 THEN good_id WHEN n_good = 0 AND n = 1 THEN any_id ELSE 'ph.' || e.m END AS dst, coalesce(n_good > 1, false) AS ambiguous FROM e LEFT JOIN one USING (m)""")
 def _(t):
     edges = t.part.filter("p_partkey < 60").selectExpr("'route' || p_partkey AS src", "'ph.M' || (p_partkey % 6) AS dst")
     functions = t.part.filter("p_partkey < 8").selectExpr("'H' || p_partkey || '.M' || (p_partkey % 5) AS id", "CASE WHEN p_partkey % 2 = 0 THEN 'handler' ELSE 'service' END AS kind", "'x/y.go' AS path")
