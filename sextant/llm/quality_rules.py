@@ -35,7 +35,7 @@ def n_repeat_words(words: Column) -> Column:
     def repeated(ordered: Column) -> Column:
         same = lambda s, j: F.coalesce(F.get(ordered, j)["h"] == s["h"], F.lit(False))
         hits = F.filter(ordered, lambda s, j: same(s, j - 1) | same(s, j + 1))
-        return common.let(F.array_sort(F.transform(hits, lambda s: s["i"])), covered)
+        return common.let(F.sort_array(F.transform(hits, lambda s: s["i"])), covered)
 
     def count(h: Column) -> Column:
         ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
