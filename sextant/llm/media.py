@@ -199,4 +199,5 @@ def query(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"),
         F.crc32(F.substring(payload, -32, 32)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), r("access").alias("random_access"),
+        F.transform(r("access"), lambda k: F.get(r("stamps"), k)).alias("access_pts"),
     )
