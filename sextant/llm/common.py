@@ -32,10 +32,21 @@ def where(df: DataFrame, cond: Column) -> DataFrame:
     return df.withColumn("_fence", F.spark_partition_id()).filter(cond & (F.col("_fence") >= 0)).drop("_fence")
 
 
+#: Bytes per core under which a table is dealt anew to all cores: a small file often has one row group, and so one task.
+SPREAD_BYTES = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if the planner knows it to be small; larger tables have splits enough and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if known <= SPREAD_BYTES * cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     """A driver table."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def is_empty(df: DataFrame) -> bool:
