@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -44,12 +45,13 @@ def walk(edges: DataFrame, roots: DataFrame, names: DataFrame | None = None, dep
     return out
 
 
-def tree_walk(edges: DataFrame, roots: DataFrame, depth: int = -1, limit: int = 1000) -> DataFrame:
+def tree_walk(edges: DataFrame, roots: DataFrame, depth: int = -1, limit: int | None = None) -> DataFrame:
     """Paths that stop at a node already on them: root, id, depth, path, is_cycle. 0 gives the roots only, below 0 no limit."""
     hop = edges.select(F.col("src").alias("_from"), F.col("dst").alias("_to")).distinct()
     now = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.array("id").alias("path"), F.lit(False).alias("is_cycle"))
     out = now
-    for k in range(1, (depth if depth >= 0 else limit) + 1):
+    last = depth if depth >= 0 else limit
+    for k in count(1) if last is None else range(1, last + 1):
         step = now.filter(~F.col("is_cycle")).join(hop, F.col("id") == F.col("_from"))
         now = step.select("root", F.col("_to").alias("id"), F.lit(k).alias("depth"), F.concat("path", F.array("_to")).alias("path"), F.array_contains("path", F.col("_to")).alias("is_cycle"))
         if k % CUT_EVERY == 0:
@@ -86,19 +88,21 @@ def _breadth_first(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": list(distance), "distance": list(distance.values())}).astype({"distance": "int32"})
 
 
-def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 10_000, tag: str = "reach", small: int = SMALL) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, rounds: int | None = None, tag: str = "reach", small: int = SMALL) -> DataFrame:
     """Nodes that ``roots`` (id) reach, with their least distance: breadth first, each node visited once.
 
     A graph of up to ``small`` distinct edges and roots, counted first, is done in one task, others round by round.
+    Only ``rounds``, if given, limits the distance.
     """
     hop = cut(edges.select("src", "dst").distinct(), tag)
     begin = cut(roots.select("id").distinct(), tag)
     if small and hop.count() + begin.count() <= small:
         both = hop.unionByName(begin.select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"))).withColumn("_all", F.lit(0))
-        return both.groupBy("_all").applyInPandas(_breadth_first, "id long, distance int").filter(F.col("distance") <= rounds)
+        found = both.groupBy("_all").applyInPandas(_breadth_first, "id long, distance int")
+        return found if rounds is None else found.filter(F.col("distance") <= rounds)
     seen = begin.withColumn("distance", F.lit(0))
     front = seen
-    for k in range(1, rounds + 1):
+    for k in count(1) if rounds is None else range(1, rounds + 1):
         step = front.select(F.col("id").alias("src")).join(hop, "src").select(F.col("dst").alias("id")).distinct()
         front = cut(step.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(k)), tag)
         if not front.take(1):

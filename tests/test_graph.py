@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import pytest
@@ -103,3 +104,11 @@ def test_reach_and_merge(spark, edges):
 def test_entry_points(spark):
     df = spark.createDataFrame([("GET", "/x"), ("GRAPHQL", "Mutation.logSet"), ("GRAPHQL", "Query"), ("JOB", "nightly")], "m string, p string")
     assert [r[0] for r in df.select(G.entry_point(F.col("m"), F.col("p"))).collect()] == ["GET /x", "mutationResolver.LogSet", None, "nightly"]
+
+
+def test_reach_has_no_limit_of_its_own(spark):
+    chain = spark.range(10_050).selectExpr("id AS src", "id + 1 AS dst")
+    far = G.reachable(chain, ids(spark, 0)).agg(F.count(F.lit(1)), F.max("distance")).first()
+    assert tuple(far) == (10_051, 10_050)
+    assert G.reachable(chain, ids(spark, 0), rounds=10_000).count() == 10_001
+    assert inspect.signature(G.tree_walk).parameters["limit"].default is None
