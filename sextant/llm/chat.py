@@ -69,7 +69,7 @@ def format_conversations(rows: DataFrame, loss_role: str = LOSS_ROLE, vocabulary
     conversation), ids (little-endian unsigned 32-bit) and mask (a byte per id, 1 under the loss)."""
 
     def turns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(vocabulary)
+        encode = Encoder(vocabulary, special=False)
         for pdf in batches:
             for at in range(0, len(pdf), 1000):
                 part = pdf.iloc[at : at + 1000]
@@ -92,7 +92,7 @@ def read_conversations(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFr
     names = [x.split()[0] for x in schema.split(", ")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(vocabulary)
+        encode = Encoder(vocabulary, special=False)
         now, state, out = None, None, []
 
         def done() -> None:

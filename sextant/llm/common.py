@@ -26,10 +26,22 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns in between that ``df`` does not have, whatever its letters' case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def where(df: DataFrame, cond: Column) -> DataFrame:
     """Filter on computed columns. No filter is pushed through a column that depends on the partition, so they are not computed
     again below, inside lambdas and once per element."""
-    return df.withColumn("_fence", F.spark_partition_id()).filter(cond & (F.col("_fence") >= 0)).drop("_fence")
+    (fence,) = free(df, "_fence")
+    return df.withColumn(fence, F.spark_partition_id()).filter(cond & (F.col(fence) >= 0)).drop(fence)
 
 
 #: Bytes per core under which a table is dealt anew to all cores: a small file often has one row group, and so one task.

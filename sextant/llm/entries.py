@@ -15,10 +15,12 @@ QUERIES = {
     "op10_simhash_dedup": simhash_dedup.query,
     "op4_line_dedup": line_dedup.query,
     "op6_quality_rules": quality_rules.query,
+    "llm_rule_ablations": quality_rules.ablation_query,
 }
 
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
+    "llm_rule_ablations": quality_rules.ABLATION_ORACLE,
 }

@@ -6,11 +6,11 @@ sample of its texts; a text goes to the language of the centroid with the larges
 than ``reject`` of the training sample is told as rejected.
 
 Document frequencies are counted over all training rows, as one vector per task that is summed per dimension.
-The sample has at most ``SAMPLE`` texts per language, chosen by a hash of the id, whatever the input; only its
+The sample has at most ``SAMPLE`` texts per language, chosen by a hash of id and text, whatever the input; only its
 sparse vectors reach the driver. The model has a fixed number of dimensions, so it is small, whatever the input.
 
 Null texts and texts without a letter are ``und`` with score 0; so is every text if nothing was learned. Training rows
-with null language or text are left out; ids may be null or repeat, ties in the sample are broken by id and text.
+with null language or text are left out; ids may be null or repeat, ties in the sample are rows equal in id and text.
 Repeated rows are predicted alike, texts of any length as a whole, and an empty table gives an empty result.
 """
 
@@ -75,14 +75,18 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
 
 
 def sample(docs: DataFrame, per_lang: int = SAMPLE) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """Sparse counts of up to ``per_lang`` texts per language, those with the smallest hash of the id.
+    """Sparse counts of up to ``per_lang`` texts per language, those with the smallest hash of id and text.
 
-    A threshold on the hash first cuts every language down to about twice that, so that the ranking sees few rows.
+    Counts of a logarithmic scale of the hash, a bounded number per language, give a threshold that at least ``per_lang``
+    texts of the language are under (all, if it has fewer), and not many more, so that the ranking sees few rows.
     """
-    totals = docs.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"))
-    h = F.xxhash64(F.col("_id"), F.lit(7))
-    part = (h.cast("double") / F.lit(2.0**64)) + 0.5
-    few = docs.join(F.broadcast(totals), "_lang").filter(part * F.col("n") <= 2.0 * per_lang + 20)
+    # the hash is of id and text, as ids may be null or repeat; log2 of it as a fraction of all hashes, in sixteenths
+    h = F.xxhash64(F.col("_id"), F.col("text"), F.lit(7))
+    step = F.floor(F.log2(F.greatest(h.cast("double") / F.lit(2.0**64) + 0.5, F.lit(2.0**-64))) * 16).cast("int")
+    upto = F.sum("n").over(Window.partitionBy("_lang").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1))
+    steps = docs.groupBy("_lang", step.alias("_step")).agg(F.count(F.lit(1)).alias("n"))
+    last = steps.withColumn("_below", F.coalesce(upto, F.lit(0))).filter(F.col("_below") < per_lang).groupBy("_lang").agg(F.max("_step").alias("_last"))
+    few = docs.join(last, "_lang").filter(step <= F.col("_last")).drop("_last")
     ranked = few.withColumn("_h", h).withColumn("_k", F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_id", "text"))).filter(F.col("_k") <= per_lang)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,7 +162,8 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE, k: int = CENTROIDS, reject: flo
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_p``: lang_pred, score (the cosine) and rejected. Null texts and texts without a letter are ``und``."""
+    """``docs`` with ``_p``: lang_pred, score (the cosine) and rejected. Null texts and texts without a letter are ``und``.
+    A column ``_p`` before is replaced, all others are kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")

@@ -6,7 +6,8 @@ point, whose packet carries a clock reference. ``demux`` reads a stream from its
 tables (and their CRC) to find the stream, checks continuity, reassembles the packets and returns the payload, the
 time stamps and the random-access points.
 
-Work is per row, without a shuffle. Null payloads give null streams; an empty table gives an empty result.
+Work is per row, without a shuffle. Null texts are empty payloads, reading a null stream gives nulls; an empty table gives an
+empty result. Repeated rows, null ids and texts of any length are taken as they are; ``features`` replaces a column ``_read``.
 """
 
 from __future__ import annotations
@@ -183,7 +184,9 @@ def features(df: DataFrame, media_col: str = "media") -> DataFrame:
 
     @F.pandas_udf(kind)
     def read(streams: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([demux(x) for x in streams], columns=["payload", "stamps", "access", "clocks", "errors", "packets"])
+        columns = ["payload", "stamps", "access", "clocks", "errors", "packets"]
+        out = pd.DataFrame([dict.fromkeys(columns) if x is None else demux(x) for x in streams], columns=columns, dtype=object)
+        return out.astype({"errors": "Int32", "packets": "Int32"})
 
     return df.withColumn("_read", read(F.col(media_col)))
 

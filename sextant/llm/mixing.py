@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights: list[float], share: float, passes: int = PASSE
     and ``_copies``, how often the mix takes the document (0 to ``passes``).
 
     The budget is ``share`` times all sizes. Null sources are a source of their own; null ids and repeated rows are
-    shuffled like others, and rows equal in id and size are interchangeable. A document without words weighs nothing;
+    shuffled like others, and rows equal in id, size and ``_tie``, if given, are interchangeable. A document without words weighs nothing;
     it is taken if its finish time is in the mix. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -87,7 +87,8 @@ def mix(docs: DataFrame, weights: list[float], share: float, passes: int = PASSE
     table = spark.createDataFrame([(x.source, x.place, x.size, x.target) for x in shares], "_source string, _place int, _source_size long, _target double")
     placed = docs.join(F.broadcast(table), docs["_source"].eqNullSafe(table["_source"])).drop(table["_source"])
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
-    queue = common.numbered(placed.withColumn("_key", key), "_place", "_key", "_id", "_size", tag="mix-queue")
+    tie = ["_tie"] if "_tie" in docs.columns else []
+    queue = common.numbered(placed.withColumn("_key", key), "_place", "_key", "_id", "_size", *tie, tag="mix-queue")
     served = _raised(queue, ["_place"])
     finish = [F.when(F.col("_target") > 0, (F.col("_cum") + p * F.col("_source_size")) / F.col("_target")).otherwise(F.lit(0.0 if p == 0 else float("inf"))) for p in range(passes)]
     served = common.cut(served.withColumn("_finish", F.array(*finish)), "mix-served")
@@ -139,7 +140,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` as mixed by the query's recipe: rows that the mix takes twice come twice, others once or not at all."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias("_row_id"))
     base = common.cut(packed, "mix-rows")
-    slim = base.select("_row_id", F.col("_doc.doc_id").alias("_id"), F.col("_doc.source").alias("_source"), word_count(F.col("_doc.text")).alias("_size"))
+    slim = base.select("_row_id", F.col("_doc.doc_id").alias("_id"), F.col("_doc.source").alias("_source"), word_count(F.col("_doc.text")).alias("_size"), F.xxhash64("_doc.text").alias("_tie"))
     taken = mix(slim, WEIGHTS, SHARE).filter("_copies > 0").select("_row_id", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return base.join(taken.hint("merge"), "_row_id").select("_doc.*")  # grows with the input: never broadcast
 

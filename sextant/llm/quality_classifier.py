@@ -5,7 +5,7 @@ conjunctive rule; a logistic model with an L1 penalty over all rules keeps a few
 Spark column expression, so that scoring is code generated with the scan of the statistics, and no Python runs.
 
 Statistics are over whole texts; null and empty texts have zeros and are scored like others. Repeated rows, null ids
-and other columns are kept as they are; without labelled rows the score is 0.5 throughout, with one class only near
+and other columns than ``f_*`` are kept as they are; without labelled rows the score is 0.5 throughout, with one class only near
 that class. An empty table gives an empty result.
 """
 
@@ -28,18 +28,19 @@ FEATURES = ("words", "word_length", "symbols", "capitals", "letters", "dup_lines
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one double column per feature, named ``f_`` and the feature."""
-    out = quality_rules.measured(docs, text).withColumn("_n_distinct", F.size(F.array_distinct(common.words(F.col(text)))))
-    out = out.withColumn("_n_marks", common.count_matches(F.coalesce(F.col(text), F.lit("")), r"[!?]+"))
-    m = F.col("_m")
+    """``docs`` with one double column per feature, named ``f_`` and the feature; columns of these names are replaced, all
+    others are kept."""
+    (name,) = common.free(docs, "_stats")
+    out = quality_rules.measured(docs, text, name, lambda w, t: {"n_distinct": F.size(F.array_distinct(w)), "n_marks": common.count_matches(t, r"[!?]+")})
+    m = F.col(name)
     over = lambda a, b: F.when(b > 0, a.cast("double") / b).otherwise(0.0)
     values = {
         "words": F.log1p(m["n_words"]), "word_length": over(m["word_chars"], m["n_words"]), "symbols": over(m["n_symbols"], m["n_words"]),
         "capitals": over(m["n_upper"], m["n_letters"]), "letters": over(m["n_letters"], m["word_chars"]), "dup_lines": over(m["n_dup_lines"], m["n_lines"]),
-        "repeats": over(m["n_repeat_words"], m["n_words"]), "line_words": over(m["n_words"], m["n_lines"]), "distinct": over(F.col("_n_distinct"), m["n_words"]),
-        "marks": over(F.col("_n_marks"), m["n_words"]),
+        "repeats": over(m["n_repeat_words"], m["n_words"]), "line_words": over(m["n_words"], m["n_lines"]), "distinct": over(m["n_distinct"], m["n_words"]),
+        "marks": over(m["n_marks"], m["n_words"]),
     }
-    return out.withColumns({f"f_{k}": values[k] for k in FEATURES}).drop("_m", "_n_distinct", "_n_marks")
+    return out.withColumns({f"f_{k}": values[k] for k in FEATURES}).drop(name)
 
 
 #: A condition is (feature, above, bound): the feature is over the bound if ``above``, else not.

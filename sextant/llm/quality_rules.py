@@ -44,11 +44,15 @@ def n_repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, 0).otherwise(common.let(F.slice(hashes, 1, F.greatest(F.size(words) - 2, F.lit(1))), count)).cast("long")
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one struct column ``_m`` of whole-text measurements."""
+def measured(docs: DataFrame, text: str = "text", out: str = "_m", more=None) -> DataFrame:
+    """``docs`` with one struct column ``out`` of whole-text measurements, which replaces a column of that name.
+
+    ``more`` gives further measurements by name from the words and the text.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    split = docs.withColumn("_words", common.words(F.col(text))).withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(common.WORD)))
-    w, lines = F.col("_words"), F.col("_lines")
+    a, b = common.free(docs, "_words", "_lines")
+    split = docs.withColumn(a, common.words(F.col(text))).withColumn(b, F.filter(F.split(t, "\n"), lambda x: x.rlike(common.WORD)))
+    w, lines = F.col(a), F.col(b)
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]+", "")).cast("long")
     m = {
         "n_words": F.size(w).cast("long"),
@@ -60,7 +64,9 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": n_repeat_words(w),
     }
-    return split.withColumn("_m", F.struct(*[v.alias(k) for k, v in m.items()])).drop("_words", "_lines")
+    if more:
+        m |= more(w, t)
+    return split.withColumn(out, F.struct(*[v.alias(k) for k, v in m.items()])).drop(a, b)
 
 
 def rules(m: Column) -> dict[str, Column]:
@@ -102,7 +108,10 @@ DEFAULT = Policy("full-1", NAMES)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with its measurements in ``_m`` and failed rules in ``_bits`` (bit k: rule ``NAMES[k]``)."""
+    """``docs`` with its measurements in ``_m`` and failed rules in ``_bits`` (bit k: rule ``NAMES[k]``).
+
+    Columns of these two names are replaced, all others are kept.
+    """
     out = measured(docs, text)
     bits = sum((F.when(c, 1 << k).otherwise(0).cast("long") for k, c in enumerate(map(rules(F.col("_m")).get, NAMES))), F.lit(0).cast("long"))
     return out.withColumn("_bits", bits)
@@ -142,10 +151,19 @@ def query(spark, sf_dir: str) -> DataFrame:
     led = apply_policy(ledger(common.documents(spark, sf_dir).select("doc_id", "text")))
     m = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     base = ~BASE.keeps(F.col("_bits"))
-    return led.select("doc_id", *[F.col(f"_m.{x}").alias(x) for x in m], base.alias("base_failed"), (F.col("kept") & ~base).alias("kept"))
+    rest = [F.col(f"_m.{x}").alias(x) for x in ("n_letters", "n_upper", "n_lines")]
+    return led.select(
+        "doc_id", *[F.col(f"_m.{x}").alias(x) for x in m], base.alias("base_failed"), (F.col("kept") & ~base).alias("kept"),
+        F.col("_bits").alias("failed_bits"), F.lit(DEFAULT.version).alias("policy"), *rest,
+    )
+
 
+def ablation_query(spark, sf_dir: str) -> DataFrame:
+    """What each rule of the full policy does to ``documents``, from the masks alone."""
+    return ablations(ledger(common.documents(spark, sf_dir).select("text")))
 
-ORACLE = r"""
+
+MEASURED = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
 ), w AS (
@@ -166,11 +184,24 @@ WITH d AS (
          length(t) - length(regexp_replace(t, '\p{Lu}+', '', 'g')) AS n_upper,
          len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
   FROM w LEFT JOIN cov USING (r)
+), led AS (
+  SELECT *, ((n_words < 50)::BIGINT + 2 * (n_repeat_words * 100 > n_words * 50)::BIGINT + 4 * (n_symbols * 100 > n_words * 10)::BIGINT + 8 * (n_upper * 100 > n_letters * 40)::BIGINT
+    + 16 * (n_letters * 100 < word_chars * 60)::BIGINT + 32 * (word_chars < n_words * 2)::BIGINT + 64 * (word_chars > n_words * 25)::BIGINT + 128 * (n_dup_lines * 2 > n_lines)::BIGINT)::BIGINT AS failed_bits FROM m
 )
+"""
+
+ABLATION_ORACLE = MEASURED + r"""
+SELECT r.rule, count(*) FILTER (WHERE failed_bits & r.bit <> 0) AS n_failed, count(*) FILTER (WHERE failed_bits = r.bit) AS n_failed_alone, count(*) FILTER (WHERE failed_bits = r.bit) AS n_kept_without,
+       coalesce(bit_or(failed_bits) FILTER (WHERE failed_bits & r.bit <> 0), 0)::BIGINT AS fails_with
+FROM led, (VALUES ('few_words', 1), ('repeats', 2), ('symbols', 4), ('capitals', 8), ('few_letters', 16), ('short_words', 32), ('long_words', 64), ('dup_lines', 128)) r(rule, bit) GROUP BY r.rule
+"""
+
+ORACLE = MEASURED + r"""
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-       n_repeat_words::BIGINT AS n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       n_repeat_words::BIGINT AS n_repeat_words, failed_bits, 'full-1' AS policy, n_letters::BIGINT AS n_letters, n_upper::BIGINT AS n_upper, n_lines::BIGINT AS n_lines,
+       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR n_symbols * 100 > n_words * 10
             OR n_upper * 100 > n_letters * 40 OR n_letters * 100 < word_chars * 60 OR word_chars < n_words * 2
             OR word_chars > n_words * 25 OR n_dup_lines * 2 > n_lines) AS kept
-FROM m
+FROM led
 """

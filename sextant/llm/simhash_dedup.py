@@ -37,10 +37,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
         return 0
     parts = [found[i:] for i in range(shingle)] if len(found) >= shingle else None
     one = xxhash.xxh64_intdigest
-    hashes = [one(b" ".join(z), seed) for z in zip(*parts)] if parts else [one(b" ".join(found), seed)]
+    return majority(np.array([one(b" ".join(z), seed) for z in zip(*parts)] if parts else [one(b" ".join(found), seed)], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The word of the bits that over half of the 64-bit ``hashes`` have; 0 of none."""
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        h = np.array(hashes[at : at + (1 << 16)], dtype="<u8")
+    for at in range(0, len(hashes), 1 << 14):
+        h = np.ascontiguousarray(hashes[at : at + (1 << 14)], dtype="<u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
@@ -55,18 +59,20 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("_fp", simhash(F.col(text)))
 
 
+def golay_keys(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of unsigned 64-bit fingerprints, 18 a row, and which of them are there."""
+    parts = [((bits >> np.uint64(a)) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS]
+    near = [golay.nearby(parts[(i + 1) % len(parts)]) for i in range(len(parts))]
+    key = [(np.int64(i) << 35) | (exact[:, None] << 12) | near[i] for i, exact in enumerate(parts)]
+    return np.hstack(key), np.hstack(near) >= 0
+
+
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for at in range(0, len(pdf), 20_000):
             fps = pdf["_fp"].to_numpy()[at : at + 20_000]
-            bits = fps.view(np.uint64)
-            parts = [((bits >> np.uint64(a)) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS]
-            out = []
-            for i, exact in enumerate(parts):
-                near = golay.nearby(parts[(i + 1) % len(parts)])
-                key = (np.int64(i) << 35) | (exact[:, None] << 12) | near
-                out.append(pd.DataFrame({"key": key[near >= 0], "_fp": np.repeat(fps, (near >= 0).sum(axis=1))}))
-            yield pd.concat(out, ignore_index=True)
+            key, there = golay_keys(fps.view(np.uint64))
+            yield pd.DataFrame({"key": key[there], "_fp": np.repeat(fps, there.sum(axis=1))})
 
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -106,13 +112,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id, the first one
-    as read if ids repeat, null ids last. All columns are returned."""
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id, among rows of one id that
+    with the smallest hash of the text, null ids last. All columns are returned, whatever their names."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias("_row_id"))
     base = common.cut(packed, "simhash-rows")
     flat = base.select("_row_id", F.col(f"_doc.`{id_col}`").alias("_own"), F.col(f"_doc.`{text_col}`").alias("text"))
-    slim = common.cut(fingerprints(flat).drop("text"), "simhash-docs")
-    order = F.struct(F.col("_own").isNull().alias("none"), F.col("_own").alias("own"), F.col("_row_id").alias("row"))
+    slim = common.cut(fingerprints(flat).withColumn("_hash", F.xxhash64("text")).drop("text"), "simhash-docs")
+    order = F.struct(F.col("_own").isNull().alias("none"), F.col("_own").alias("own"), F.col("_hash").alias("hash"), F.col("_row_id").alias("row"))
     slim = slim.select("_fp", order.alias("_id"))
     kept = classes(slim, bucket).select(F.col("component_id.row").alias("_row_id")).distinct()
     return base.join(kept.hint("merge"), "_row_id", "left_semi").select("_doc.*")  # grows with the input: never broadcast

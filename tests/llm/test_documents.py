@@ -165,6 +165,17 @@ def test_classes_like_all_pairs(spark, bucket):
     assert [got[i] for i in ids] == partition(fps, ids)
 
 
+def test_fingerprint_bit_by_bit():
+    import xxhash
+
+    for text in ["", "a", "A b", "one two three four", passage(3, 200), "x y z " * 50, "Ä B c d"]:
+        w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in split(text)]
+        grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] * bool(w)
+        hs = [xxhash.xxh64(g.encode(), 42).intdigest() for g in grams]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+        assert simhash_dedup.fingerprint(text) == want
+
+
 def test_near_duplicates_of_odd_rows(odd, empty, spark):
     got = simhash_dedup.near_duplicates(odd).collect()
     fps = [simhash_dedup.fingerprint(r[1]) for r in ODD]
@@ -284,8 +295,12 @@ def test_packed_pieces(odd, empty):
 
 
 def test_fast_ids_are_those_of_the_tokenizers_file():
-    plain, fast = tokens.plain(tokens.vocabulary_path("byte_bpe_50k.json")), tokens.Encoder()
-    texts = [r[1] or "" for r in ODD] + ["<|endoftext|> it's   many\n\n  spaces\t\t", "x" * 3000, " " * 5000, "á‍﻿ 🏳️‍🌈 ١٢٣ ½ Ⅷ", "\x00\x1f\x7f"]
+    from tokenizers import Tokenizer
+
+    plain, fast = Tokenizer.from_file(tokens.vocabulary_path("byte_bpe_50k.json")), tokens.Encoder()
+    assert list(fast("hi <|endoftext|> there")) == [5303, 220, 50256, 612]
+    assert 50256 not in list(tokens.Encoder(special=False)("hi <|endoftext|> there"))
+    texts = [r[1] or "" for r in ODD] + ["<|endoftext|>", "a<|endoftext|>b<|endoftext|", "<|endoftext|> it's   many\n\n  spaces\t\t", "x" * 3000, " " * 5000, "á‍﻿ 🏳️‍🌈 ١٢٣ ½ Ⅷ", "\x00\x1f\x7f"]
     for t in texts:
         assert list(fast(t)) == plain.encode(t, add_special_tokens=False).ids
         assert fast.decode(fast(t)) == t.encode()
@@ -318,6 +333,42 @@ def test_media_of_odd_rows(odd, empty):
     want = Counter((r[0], len((r[1] or "").encode()), hashlib.sha256(media.padded((r[1] or "").encode())).hexdigest()) for r in ODD)
     assert Counter((r["doc_id"], r["n_bytes"], hashlib.sha256(r["payload"]).hexdigest()) for r in got) == want
     assert media.features(media.stored(empty)).count() == 0
+    none = odd.sparkSession.sql("SELECT CAST(NULL AS BINARY) AS media, 'x' AS _read UNION ALL SELECT X'', 'x'")
+    assert sorted((r["_read"]["payload"], r["_read"]["packets"]) for r in media.features(none).collect() if r["media"] is not None) == [(b"", 0)]
+    assert [tuple(r["_read"]) for r in media.features(none).collect() if r["media"] is None] == [(None,) * 6]
+
+
+def test_streams_by_a_reader_of_its_own():
+    """A second reader, written from the format: fixed packet ids, lengths from the headers, nothing of the module."""
+    for n in (0, 1, 575, 576, 577, 5000, 70_000):
+        payload = media.padded(bytes((7 * i) % 256 for i in range(n)))
+        stream, units, starts, pts, random_access, counter = media.mux(payload), [], [], [], [], {}
+        for k in range(len(stream) // 188):
+            packet = stream[188 * k : 188 * k + 188]
+            assert packet[0] == 0x47
+            pid, flags, cc = int.from_bytes(packet[1:3], "big") & 0x1FFF, packet[3] >> 4 & 3, packet[3] & 15
+            assert counter.get(pid, (cc - 1) & 15) == (cc - 1) & 15
+            counter[pid] = cc
+            body = packet[4:]
+            rai = False
+            if flags & 2:
+                rai, body = bool(body[0] and body[1] & 0x40), body[1 + body[0] :]
+            if pid != 0x100:
+                continue
+            if packet[1] & 0x40:
+                starts.append(len(units))
+                if rai:
+                    random_access.append(len(units))
+                units.append(b"")
+            units[-1] += body
+        out = b""
+        for u in units:
+            assert u[:4] == b"\0\0\1\xbd" and len(u) == 6 + int.from_bytes(u[4:6], "big") and u[7] >> 6 == 2
+            bits = "".join(f"{x:08b}" for x in u[9:14])
+            assert bits[7] == bits[23] == bits[39] == "1"
+            pts.append(int(bits[4:7] + bits[8:23] + bits[24:39], 2))
+            out += u[9 + u[8] :]
+        assert out == payload and pts == [3600 * i for i in range(len(units))] and random_access == list(range(0, len(units), 12))
 
 
 # --- language ------------------------------------------------------------------------------------------------------
@@ -341,6 +392,34 @@ def test_languages_are_told_apart(spark, make, odd, empty):
     assert {r[0] for r in language_id.predict(odd.select("text"), none).select("_p.lang_pred").collect()} == {"und"}
 
 
+def test_null_and_repeated_ids_teach_every_language(spark):
+    rng = random.Random(3)
+    word = lambda parts: " ".join("".join(rng.choices(parts, k=3)) for _ in range(12))
+    rows = [(None, "aa", word(["ba", "ko", "tir"])) for _ in range(2000)] + [(i, "bb", word(["sch", "ung", "eit"])) for i in range(2000)]
+    rows += [(7, "cc", word(["eau", "tion", "que"])) for _ in range(1500)] + [(9, "dd", "xyz wvu xyz") for _ in range(1500)]
+    docs = spark.createDataFrame(rows, "_id long, _lang string, text string")
+    by = Counter(lang for lang, _, _ in language_id.sample(docs, 100))
+    assert by == {"aa": 100, "bb": 100, "cc": 100, "dd": 100}
+    assert set(language_id.fit(docs, per_lang=50).langs) == {"aa", "bb", "cc", "dd"}
+
+
+def test_nearest_centroid_like_brute_force(make):
+    """Scores by a plain evaluation of the model: trigrams counted one by one, cosines by sums."""
+    rng = random.Random(11)
+    docs = make([(i, " ".join("".join(rng.choices(["ba", "ko", "é", "sch"][i % 2 :: 2], k=3)) for _ in range(9)), "s", "ab"[i % 2]) for i in range(60)])
+    model = language_id.fit(docs.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "text"), per_lang=20)
+    for r in language_id.predict(docs.select("text"), model).collect():
+        raw = " " + " ".join("".join(c if ord(c) > 127 or c.isalpha() else " " for c in r["text"].lower()).split()) + " "
+        raw, tf = raw.encode(), Counter()
+        for i in range(len(raw) - 2):
+            tf[(int.from_bytes(raw[i : i + 3], "big") * 2654435761 % 2**32) >> 18] += 1
+        x = {d: (1 + np.log(n)) * float(model.idf[d]) for d, n in tf.items()}
+        norm = sum(v * v for v in x.values()) ** 0.5
+        cos = [sum(v * float(c[d]) for d, v in x.items()) / norm for c in model.centroids]
+        assert r["_p"]["score"] == pytest.approx(min(1, max(cos)), abs=1e-4)
+        assert r["_p"]["lang_pred"] == model.langs[int(np.argmax(cos))]
+
+
 def test_held_out_rows(spark):
     got = spark.range(200).select("id", language_id.held_out(F.col("id"), 5, 0).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in got)
@@ -359,6 +438,14 @@ def test_rules_find_what_makes_the_label(spark, make, odd, empty):
     got = stats.select("doc_id", model.column().alias("s")).join(labels, F.col("doc_id") == F.col("_id")).collect()
     assert all((r["s"] >= 0.7) == (r["_y"] == 1) for r in got)
     assert model.describe()
+    kept = quality_classifier.statistics(odd)
+    assert kept.columns == [*odd.columns, *[f"f_{k}" for k in quality_classifier.FEATURES]] and {r["_m"] for r in kept.collect()} == {"extra"}
+    some = stats.collect()[:80]
+    for r, score in zip(some, [r["s"] for r in stats.select(model.column().alias("s")).collect()[:80]]):  # rule by rule
+        total = model.intercept
+        for rule, weight in model.rules:
+            total += weight * all((r[f"f_{quality_classifier.FEATURES[f]}"] > bound) == above for f, above, bound in rule)
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
     scores = quality_classifier.statistics(odd.select("text")).select(model.column().alias("s")).collect()
     assert len(scores) == len(ODD) and all(0 <= r["s"] <= 1 for r in scores)
     assert quality_classifier.statistics(empty.select("text")).count() == 0
@@ -443,6 +530,18 @@ def test_conversations_come_back(spark):
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 
+def test_pipeline_stages_of_odd_rows(spark, odd, empty, tmp_path):
+    import corpus_pipeline
+
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == corpus_pipeline.COLUMNS and out.count() > 0
+        assert stage(spark, odd.drop("lang"), str(tmp_path)).columns == corpus_pipeline.COLUMNS
+    assert corpus_pipeline.pack(spark, empty, str(tmp_path)).count() == 0
+    assert corpus_pipeline.pack(spark, odd, str(tmp_path)).count() >= len(ODD)
+
+
 def test_pipeline_like_brute_force(spark, make, tmp_path):
     import corpus_pipeline
 
