@@ -9,13 +9,15 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
-_scopes: list[str] = []
+#: The folders of the open scopes of this thread, innermost last.
+_scopes: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
 _shipped: set[str] = set()
 
 
@@ -51,17 +53,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, tag: str) -> str:
     """An unused path below the shared folder, or below the open scope."""
-    return f"{_scopes[-1] if _scopes else shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    open_ = _scopes.get()
+    return f"{open_[-1] if open_ else shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 @contextmanager
 def scope(spark: SparkSession, tag: str) -> Iterator[str]:
-    """Tables cut inside lie below one folder, whose path is given, so that they can be removed together."""
-    _scopes.append(new_path(spark, tag))
+    """Tables cut inside by this thread lie below one folder, whose path is given, so that they can be removed together."""
+    path = new_path(spark, tag)
+    token = _scopes.set((*_scopes.get(), path))
     try:
-        yield _scopes[-1]
+        yield path
     finally:
-        _scopes.pop()
+        _scopes.reset(token)
 
 
 def remove(spark: SparkSession, path: str) -> None:
