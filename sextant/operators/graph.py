@@ -119,62 +119,114 @@ def neighbours(edges: DataFrame, node: int, incoming: bool = False) -> DataFrame
     return edges.filter(F.col(a) == node).select(F.col(b).alias("id"), "kind").distinct()
 
 
-def _component(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """The edges that ``roots`` (root, id) reach, per root, for steps that depend on an order."""
-    hop = cut(edges.select("src", "dst").distinct(), "trace-edges")
+def _within(edges: DataFrame, roots: DataFrame, depth: int = 0) -> DataFrame:
+    """The edges (root, src, dst) that ``roots`` (root, id) reach within ``depth`` steps (0: all), parallel ones kept, for steps
+    that depend on an order."""
+    hop = cut(edges.select("src", "dst"), "trace-edges")
     seen = cut(roots.select("root", "id").distinct(), "trace")
-    front, k = seen, 0
-    while True:
+    front = seen
+    for k in count(1) if depth <= 0 else range(1, depth + 1):
         step = front.join(hop, F.col("id") == F.col("src")).select("root", F.col("dst").alias("id")).distinct()
         front = cut(step.join(seen, ["root", "id"], "left_anti"), "trace")
         if not front.take(1):
             break
-        seen, k = seen.unionByName(front), k + 1
+        seen = seen.unionByName(front)
         if k % CUT_EVERY == 0:
             seen = cut(seen, "trace")
     return seen.join(hop, F.col("id") == F.col("src")).select("root", "src", "dst")
 
 
+def _marked(edges: DataFrame, roots: DataFrame, known: DataFrame | None, depth: int) -> DataFrame:
+    """Rows (root, src, dst, known) of each root's edges, and one without ``dst`` that tells whether the root is known."""
+    rows = _within(edges, roots.select(F.col("id").alias("root"), "id"), depth).unionByName(roots.select(F.col("id").alias("root"), F.col("id").alias("src"), F.lit(None).cast("long").alias("dst")))
+    if known is None:
+        return rows.withColumn("known", F.lit(True))
+    end = F.coalesce("dst", "root")
+    there = known.select(F.col("id").alias("_end")).distinct().withColumn("_known", F.lit(True))
+    return rows.withColumn("_end", end).join(there, "_end", "left").select("root", "src", "dst", F.coalesce("_known", F.lit(False)).alias("known"))
+
+
+def _adjacent(pdf: pd.DataFrame) -> tuple[dict[int, list[int]], set[int], bool]:
+    """Sorted children per node, the unknown ones, and whether the root is known."""
+    near: dict[int, list[int]] = defaultdict(list)
+    is_edge = pdf["dst"].notna()
+    mine = pdf[is_edge]
+    for s, d in zip(mine["src"].tolist(), mine["dst"].astype("int64").tolist()):
+        near[s].append(d)
+    for to in near.values():
+        to.sort()
+    return near, set(mine.loc[~mine["known"], "dst"].astype("int64")), bool(pdf.loc[~is_edge, "known"].all())
+
+
 def trace_from(edges: DataFrame, roots: DataFrame, depth: int = 0, known: DataFrame | None = None) -> DataFrame:
-    """Depth-first trace of each root (id), children by id, every node entered once: root, node, depth, order, is_cycle, confidence.
+    """Depth-first trace of each root (id): root, node, depth, order, is_cycle, confidence. Children come by id.
 
-    An edge to a node entered before is told as a cycle, also when it only meets another branch. 0 is no limit. With
-    ``known`` (id), nodes that are not in it lower the confidence to 0.9 times it, and warn by ``unknown``. The order decides the result, so a
-    root's reachable edges meet in one task.
+    Every node is entered once; an edge to one entered before, parallel edges too, is told as a cycle, also when it only
+    meets another branch. Nodes ``depth`` steps away are not left again; 0 is no limit. With ``known`` (id), an edge to a node
+    that is not in it is not followed or told and takes the confidence of the trace to 0.9 times it; an unknown root gives one row
+    without a node and confidence 0. The order decides the result, so a root's reachable edges meet in one task.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        root, (near, unknown, there) = int(pdf["root"].iloc[0]), _adjacent(pdf)
+        names = ["root", "node", "depth", "order", "is_cycle"]
+        types = {"node": "Int64", "depth": "Int32", "order": "Int32"}
+        if not there:
+            return pd.DataFrame([(root, None, None, None, False)], columns=names).astype(types).assign(confidence=0.0)
+        out, entered, skipped = [(root, root, 0, 0, False)], {root}, 0
+        stack = [(0, iter(near.get(root, ())))]
+        while stack:
+            level, rest = stack[-1]
+            child = None if depth > 0 and level >= depth else next(rest, None)
+            if child is None:
+                stack.pop()
+            elif child in unknown:
+                skipped += 1
+            else:
+                out.append((root, child, level + 1, len(out), child in entered))
+                if child not in entered:
+                    entered.add(child)
+                    stack.append((level + 1, iter(near.get(child, ()))))
+        confidence = 1.0
+        for _ in range(skipped):
+            confidence *= 0.9
+        return pd.DataFrame(out, columns=names).astype(types).assign(confidence=confidence)
+
+    rows = _marked(edges, roots, known, depth)
+    return rows.groupBy("root").applyInPandas(run, "root long, node long, depth int, order int, is_cycle boolean, confidence double")
+
+
+def trace_callers(edges: DataFrame, roots: DataFrame, depth: int = 0, known: DataFrame | None = None) -> DataFrame:
+    """Caller chains of each root (id): root, chain, place, node, depth. A chain starts at its furthest caller and ends at a direct one.
+
+    Callers are searched depth first by id and entered once; those entered before, and unknown ones, are passed over without
+    a row. A direct caller has depth 0, its callers 1; ``depth`` limits that (0: no limit). Every entered node without further
+    callers starts a chain. Unknown roots and roots without callers have none. A root's callers meet in one task.
     """
-    mine = _component(edges, roots.select(F.col("id").alias("root"), "id"))
-    rows = mine.unionByName(roots.select(F.col("id").alias("root"), F.col("id").alias("src"), F.lit(None).cast("long").alias("dst")))
-    if known is not None:
-        rows = rows.join(known.select(F.col("id").alias("dst"), F.lit(True).alias("_known")), "dst", "left").select("root", "src", "dst", F.coalesce("_known", F.col("dst").isNull()).alias("known"))
-    else:
-        rows = rows.withColumn("known", F.lit(True))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        root, out, unknown = int(pdf["root"].iloc[0]), [], set()
-        children: dict[int, list[int]] = defaultdict(list)
-        for s, d, k in zip(pdf["src"], pdf["dst"], pdf["known"]):
-            if pd.notna(d):
-                children[int(s)].append(int(d))
-                if not k:
-                    unknown.add(int(d))
-        entered, confidence, stack = {root}, 1.0, [(root, 0, iter(sorted(children[root])))]
-        out.append((root, root, 0, 0, False, False))
+        root, (near, unknown, there) = int(pdf["root"].iloc[0]), _adjacent(pdf)
+        towards: dict[int, int] = {}
+        level_of: dict[int, int] = {}
+        stack = [(root, 0, iter(near.get(root, ())))] if there else []
         while stack:
             node, level, rest = stack[-1]
-            child = next(rest, None)
-            if child is None or depth and level >= depth:
+            caller = None if depth > 0 and level >= depth else next(rest, None)
+            if caller is None:
                 stack.pop()
-                continue
-            if child in unknown and child not in entered:
-                confidence *= 0.9
-            out.append((root, child, level + 1, len(out), child in entered, child in unknown))
-            if child not in entered:
-                entered.add(child)
-                stack.append((child, level + 1, iter(sorted(children[child]))))
-        res = pd.DataFrame(out, columns=["root", "node", "depth", "order", "is_cycle", "unknown"])
-        return res.assign(confidence=confidence)
+            elif caller != root and caller not in towards and caller not in unknown:
+                towards[caller], level_of[caller] = node, level
+                stack.append((caller, level + 1, iter(near.get(caller, ()))))
+        out, inner = [], set(towards.values())
+        for chain, node in enumerate(x for x in towards if x not in inner):
+            place = 0
+            while node != root:
+                out.append((root, chain, place, node, level_of[node]))
+                node, place = towards[node], place + 1
+        return pd.DataFrame(out, columns=["root", "chain", "place", "node", "depth"])
 
-    return rows.groupBy("root").applyInPandas(run, "root long, node long, depth int, order int, is_cycle boolean, unknown boolean, confidence double")
+    rows = _marked(reversed_edges(edges), roots, known, depth)
+    return rows.groupBy("root").applyInPandas(run, "root long, chain int, place int, node long, depth int")
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -183,25 +235,30 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 
 
 def paths_to(edges: DataFrame, names: DataFrame, target: int, hint: str = "", depth: int = 20) -> DataFrame:
-    """The chain from an entry node to ``target``: reverse breadth first, every node visited once by its smallest caller.
+    """The chain (id, name, path) from an entry node, one that nobody calls, to ``target``, at most one row.
 
-    Entries are nodes that nobody calls. A name with the hint goes first, then names that start with ``route:``, then longer chains,
-    then the smaller name. A target in a closed cycle has no entry, and no chain.
+    Callers are searched breadth first over edges (seq, src, dst) in the order of ``seq``; the first to find a node keeps it. Chains of
+    over ``depth`` nodes are dropped. The first chain whose root's name has the hint, as it is written, wins, else the first
+    whose root's name starts with ``route:``, else the first of the longest ones. An unknown target has none, nor has one in a
+    closed cycle. Nodes without a name are named by their id.
+
+    The order of the search is that of the edge numbers on the way to a node, so each round is a join and an aggregation.
     """
-    hop = cut(edges.select("src", "dst").distinct(), "path-edges")
-    spark = edges.sparkSession
-    now = spark.createDataFrame([(target, [target])], "id long, path array<long>")
-    seen = now
-    for k in range(1, depth + 1):
-        step = now.join(hop, F.col("id") == F.col("dst")).select(F.col("src").alias("id"), F.concat(F.array("src"), "path").alias("path"))
-        now = cut(step.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti"), "path")
+    hop = cut(edges.select("seq", "src", "dst"), "path-edges")
+    now = names.filter(F.col("id") == target).select("id").distinct().select("id", F.array("id").alias("path"), F.array().cast("array<long>").alias("key"))
+    now = seen = cut(now, "path")
+    for _ in range(1, depth):
+        step = now.join(hop, F.col("id") == F.col("dst")).select(F.col("src").alias("id"), F.concat(F.array("src"), "path").alias("path"), F.concat("key", F.array("seq")).alias("key"))
+        first = step.groupBy("id").agg(F.min(F.struct("key", "path")).alias("x")).select("id", "x.path", "x.key")
+        now = cut(first.join(seen.select("id"), "id", "left_anti"), "path")
         if not now.take(1):
             break
         seen = seen.unionByName(now)
-    ends = seen.join(hop.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").join(names, "id")
-    prefer = F.when(F.lit(hint) != "", F.when(F.lower("name").contains(hint.lower()), 0).otherwise(1)).otherwise(1)
-    route = F.when(F.col("name").startswith("route:"), 0).otherwise(1)
-    return ends.orderBy(prefer, route, F.desc(F.size("path")), "name").limit(1).select("id", "name", "path")
+    called = hop.select(F.col("dst").alias("id")).distinct()
+    ends = seen.filter(F.size("path") <= depth).join(called, "id", "left_anti").join(names.select("id", "name"), "id", "left").withColumn("name", F.coalesce("name", F.col("id").cast("string")))
+    rank = F.when(F.lit(bool(hint)) & F.contains("name", F.lit(hint)), 0).when(F.col("name").startswith("route:"), 1).otherwise(2)
+    length = F.size("path")
+    return ends.orderBy(rank, F.when(rank == 2, -length).otherwise(length), "key").limit(1).select("id", "name", "path")
 
 
 def _tarjan(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -328,27 +385,56 @@ def cycle_walks(edges: DataFrame, components: DataFrame) -> DataFrame:
     return inside.groupBy("component").applyInPandas(run, "component long, walk string")
 
 
-def insertion_cycles(edges: DataFrame) -> DataFrame:
-    """Edges in the order of ``seq`` with whether an edge closes a path of earlier ones; self-loops do.
+def _strong(edges: list[tuple[int, int]]) -> dict[int, int]:
+    """Component of each node on a cycle of ``edges``; other nodes are left out."""
+    found = _tarjan(pd.DataFrame(edges, columns=["src", "dst"]))
+    return dict(zip(found["node"].tolist(), found["component"].tolist()))
+
 
-    The order decides, so the graph meets in one task, for graphs of one project.
+def _closing(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one component's edges those that close a cycle when they are put in.
+
+    An edge does if its ends are strongly connected by the edges up to it. Times are halved: edges whose ends the earlier half
+    connects are settled there, all others go on with the later half, in which those components are single nodes.
     """
+    rows = sorted(zip(pdf["seq"].tolist(), pdf["src"].tolist(), pdf["dst"].tolist()))
+    closes = [False] * len(rows)
+    work = [(0, len(rows) - 1, [(i, a, b) for i, (_, a, b) in enumerate(rows)])]
+    while work:
+        low, high, mine = work.pop()
+        if not mine:
+            continue
+        if low == high:  # with this one edge more
+            comp = _strong([(a, b) for i, a, b in mine if i <= low])
+            for i, a, b in mine:
+                if i == low:
+                    closes[i] = a == b or comp.get(a, -1) == comp.get(b, -2)
+            continue
+        mid = (low + high) // 2
+        comp = _strong([(a, b) for i, a, b in mine if i <= mid])
+        joined = lambda a, b: a == b or (a in comp and comp[a] == comp.get(b))
+        work.append((low, mid, [(i, a, b) for i, a, b in mine if i <= mid and joined(a, b)]))
+        later = []
+        for i, a, b in mine:
+            if i <= mid and joined(a, b):
+                continue
+            x, y = comp.get(a, a), comp.get(b, b)
+            if i > mid or x != y:
+                later.append((i, x, y))
+        work.append((mid + 1, high, later))
+    return pd.DataFrame({"seq": [x[0] for x in rows], "is_cycle": closes})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = defaultdict(set)
-        flags = []
-        pdf = pdf.sort_values("seq")
-        for s, d in zip(pdf["src"], pdf["dst"]):
-            stack, seen = [d], {d}
-            while stack and s not in seen:
-                for y in near[stack.pop()] - seen:
-                    seen.add(y)
-                    stack.append(y)
-            flags.append(s in seen)
-            near[s].add(d)
-        return pdf[["seq"]].assign(is_cycle=flags)
-
-    return edges.select("seq", "src", "dst", F.lit(0).alias("_all")).groupBy("_all").applyInPandas(run, "seq long, is_cycle boolean")
+
+def insertion_cycles(edges: DataFrame) -> DataFrame:
+    """Edges (seq, src, dst) in the order of ``seq`` with whether an edge closes a path of earlier ones; self-loops do.
+
+    Only edges inside a strongly connected component can, so each component's edges meet in a task of their own.
+    """
+    mine = edges.select("seq", "src", "dst")
+    comp = cut(strong_components(mine), "insertion")
+    ends = mine.filter("src <> dst").join(comp.select(F.col("node").alias("src"), "component"), "src").join(comp.select(F.col("node").alias("dst"), F.col("component").alias("other")), "dst")
+    flagged = ends.filter("component = other").select("component", "seq", "src", "dst").groupBy("component").applyInPandas(_closing, "seq long, is_cycle boolean")
+    return mine.join(flagged, "seq", "left").select("seq", F.coalesce("is_cycle", F.col("src") == F.col("dst")).alias("is_cycle"))
 
 
 def prune(edges: DataFrame, entries: DataFrame, sequential: bool = False) -> DataFrame:

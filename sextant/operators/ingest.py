@@ -107,15 +107,32 @@ def valid_json(df: DataFrame, column: str) -> DataFrame:
 
 
 def swap(df: DataFrame, path: str) -> None:
-    """Replace the Parquet folder ``path``: the rows are written beside it, then renamed, so readers of ``path`` can be in ``df``."""
+    """Replace the Parquet folder ``path``: the rows are written beside it, so readers of ``path`` can be in ``df``. The old
+    folder is set aside before the new one takes its name and goes only then: a stop in between leaves the old rows in
+    ``path``.old, which ``restore`` puts back."""
     spark = df.sparkSession
+    restore(spark, path)
     fresh = f"{path}.new"
     df.write.mode("overwrite").parquet(fresh)
     jvm = spark.sparkContext._jvm
-    to, came = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
+    to, came, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh, f"{path}.old"))
     fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(to, True)
+    if fs.exists(to):
+        fs.rename(to, aside)
     fs.rename(came, to)
+    fs.delete(aside, True)
+
+
+def restore(spark: SparkSession, path: str) -> None:
+    """Undo a ``swap`` that was stopped: the folder set aside comes back if ``path`` is missing, and goes if it is there."""
+    jvm = spark.sparkContext._jvm
+    to, aside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.old")
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(aside):
+        if fs.exists(to):
+            fs.delete(aside, True)
+        else:
+            fs.rename(aside, to)
 
 
 def save_version(df: DataFrame, name: str) -> str:

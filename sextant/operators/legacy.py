@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 
 def shared_segments(df: DataFrame, key: str, path: str, skip: list[str], longer_than: int = 3) -> DataFrame:
-    """Pairs (a, b), a < b, whose paths share a telling segment: joined on the segment, so only sharing pairs meet."""
-    seg = df.select(key, F.explode(F.array_distinct(F.split(path, "/"))).alias("seg")).filter((F.length("seg") > longer_than) & ~F.col("seg").isin(*skip))
-    a, b = seg.select(F.col(key).alias("a"), "seg"), seg.select(F.col(key).alias("b"), "seg")
-    return a.join(b, "seg").filter("a < b").select("a", "b").distinct()
+    """Rows (key, segment, n) of the telling path segments that a key shares with others, and how many keys have each.
+
+    Two keys share a package if they have a row of one segment in common. No pairs are made, so that a folder that a third
+    of all paths lie in costs its paths, not their square.
+    """
+    seg = df.select(key, F.explode(F.array_distinct(F.split(path, "/"))).alias("segment")).filter((F.octet_length("segment") > longer_than) & ~F.col("segment").isin(*skip)).distinct()
+    classes = seg.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return seg.join(classes, "segment").select(key, "segment", "n")
 
 
 def map_tests(tests: DataFrame, marked: DataFrame, registry: DataFrame) -> DataFrame:

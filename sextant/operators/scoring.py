@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sextant.functions import paths
 from sextant.operators.coverage import n_if
 from sextant.operators.lookup import tokens
 
@@ -126,28 +127,107 @@ def sprint(scores: DataFrame, links: DataFrame, symbols: DataFrame, results: Dat
     return rows.select("feature_id", priority.alias("priority"), bug.alias("bug"), recency.alias("recency"), cost_bucket(F.coalesce("n", F.lit(0))).alias("cost"))
 
 
-def node_status(nodes: DataFrame, tests: DataFrame) -> DataFrame:
-    """Test status of nodes (id, file_path) by tests (file_path): a test file of the same stem in the folder is tested; a
-    test in the folder, or of that stem elsewhere, is partial; others are untested."""
-    folder = F.regexp_replace("file_path", "/?[^/]*$", "")
-    stem = F.regexp_replace(F.regexp_replace(F.substring_index("file_path", "/", -1), r"\.[a-z]+$", ""), "^test_|_test$", "")
-    mine = nodes.select("id", folder.alias("folder"), stem.alias("stem"))
-    theirs = tests.select(folder.alias("folder"), stem.alias("stem")).distinct()
-    exact = theirs.withColumn("exact", F.lit(1))
-    near = theirs.select("folder").distinct().withColumn("near", F.lit(1))
-    same = theirs.select("stem").distinct().withColumn("same", F.lit(1))
-    out = mine.join(exact, ["folder", "stem"], "left").join(near, "folder", "left").join(same, "stem", "left")
-    status = F.when(F.col("exact") == 1, "tested").when((F.col("near") == 1) | (F.col("same") == 1), "partial").otherwise("untested")
-    return out.select("id", status.alias("status"))
+#: Folders that say nothing about a package, endings of a test that lies beside its source, and endings that are
+#: taken off a test's name, each once and in this order.
+COMMON_FOLDERS = ("src", "internal", "pkg", "cmd", "tests", "test", "__tests__")
+BESIDE = r"(_test\.go|\.test\.ts|\.test\.tsx|\.spec\.ts|\.spec\.tsx)$"
+TEST_ENDINGS = (r"_test$", r"\.test$", r"\.spec$", r"_e2e_test$", r"_integration_test$")
+
+
+def _no_ending(path: Column) -> Column:
+    """A path without what follows the last dot of its file name."""
+    return F.regexp_replace(path, r"\.[^./]*$", "")
 
 
-def gap_text(slot: Column, status: Column) -> Column:
-    """What a slot lacks, null if nothing."""
-    return F.when(status.isNull(), F.concat(slot, F.lit(" not tracked"))).when(status.isin("missing", "failing", "partial"), F.concat_ws(" ", slot, status))
+def node_status(nodes: DataFrame, tests: DataFrame) -> DataFrame:
+    """Test status of nodes (id, name, file_path) by tests (file_path).
+
+    ``tested``: a test of the node's file lies beside it. ``partial``: a test lies in the folder, or has the file's name, or
+    shares a path segment of four bytes or more that is no common folder; for nodes without a file, the name of a test
+    contains theirs (without ``sql:`` in front), in any case. Others are ``untested``. Each way is a join on a key: no pairs
+    of nodes and tests are made.
+    """
+    path = F.col("file_path")
+    folder, base = paths.dirname(path), F.regexp_replace(_no_ending(path), "^.*/", "")
+    segments = lambda p: F.filter(F.array_distinct(F.split(p, "/")), lambda x: (F.octet_length(x) > 3) & ~x.isin(*COMMON_FOLDERS))
+    stem = base
+    for ending in TEST_ENDINGS:
+        stem = F.regexp_replace(stem, ending, "")
+    known = tests.select(path.alias("file_path")).distinct()
+    flag = lambda df, name: df.distinct().withColumn(name, F.lit(1))
+    beside = flag(known.filter(path.rlike(BESIDE)).select(F.regexp_replace(path, BESIDE, "").alias("_source")), "_beside")
+    near = flag(known.select(folder.alias("_folder")), "_near")
+    same = flag(known.select(stem.alias("_base")), "_same")
+    shared = known.select(F.explode(segments(path)).alias("_segment")).distinct()
+    filed = nodes.filter("file_path IS NOT NULL AND file_path <> ''")
+    akin = flag(filed.select("id", F.explode(segments(path)).alias("_segment")).join(shared, "_segment", "left_semi").select("id"), "_akin")
+    out = filed.select("id", _no_ending(path).alias("_source"), folder.alias("_folder"), base.alias("_base"))
+    out = out.join(beside, "_source", "left").join(near, "_folder", "left").join(same, "_base", "left").join(akin, "id", "left")
+    status = F.when(F.col("_beside") == 1, "tested").when(F.coalesce("_near", "_same", "_akin") == 1, "partial").otherwise("untested")
+    # names in names: all parts of the short names of tests are keys
+    low = known.select(F.lower(stem).alias("s")).distinct().filter("s <> ''")
+    starts = low.select("s", F.explode(F.sequence(F.lit(1), F.length("s"))).alias("i"))
+    parts = flag(starts.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - F.col("i") + 1), lambda n: F.substring("s", F.col("i"), n))).alias("_name")), "_named")
+    loose = nodes.filter("file_path IS NULL OR file_path = ''").select("id", F.lower(F.regexp_replace("name", "^sql:", "")).alias("_name")).join(parts, "_name", "left")
+    return out.select("id", status.alias("status")).unionByName(loose.select("id", F.when(F.col("_named") == 1, "partial").otherwise("untested").alias("status")))
+
+
+#: The surface that each slot belongs to, and what it is called in a gap.
+SLOT_SURFACES = {
+    "unit.backend": "has_api", "unit.web": "has_web", "unit.mobile": "has_mobile", "integration.backend": "has_api", "integration.mobile": "has_mobile",
+    "e2e.web": "has_web", "e2e.mobile": "has_mobile",
+}
+SLOT_LABELS = {
+    "unit.backend": "unit backend", "unit.web": "unit web", "unit.mobile": "unit mobile", "integration.backend": "integration backend",
+    "integration.mobile": "integration mobile", "e2e.web": "E2E web", "e2e.mobile": "E2E mobile",
+}
+
+
+def gap_text() -> Column:
+    """What a slot (slot, status, pass_rate and the surfaces has_api, has_web and has_mobile) lacks, null if nothing.
+
+    A slot that is not there lacks tests if the feature has its surface. Failing end-to-end tests tell their pass rate.
+    """
+    slot, status = F.col("slot"), F.col("status")
+    surface, label, e2e = F.lit(False), F.lit(None).cast("string"), slot.startswith("e2e.")
+    for name, column in SLOT_SURFACES.items():
+        surface, label = F.when(slot == name, F.col(column)).otherwise(surface), F.when(slot == name, SLOT_LABELS[name]).otherwise(label)
+    rate = F.when(e2e, F.concat(F.lit(" (pass rate: "), F.coalesce(F.col("pass_rate"), F.lit(0.0)).__mul__(100).cast("int").cast("string"), F.lit("%)"))).otherwise("")
+    more = F.when(e2e, "scenarios").otherwise("tests")
+    return (
+        F.when((status.isNull() & surface) | (status == "missing"), F.concat(F.lit("Missing "), label, F.lit(" tests")))
+        .when(status == "failing", F.concat(F.lit("Failing "), label, F.lit(" tests"), rate))
+        .when(status == "partial", F.concat(F.lit("Partial "), label, F.lit(" coverage — additional "), more, F.lit(" needed")))
+    )
 
 
 def feature_gaps(slots: DataFrame) -> DataFrame:
     """Per feature its gaps in the order of the slots, how many, and whether nothing lacks."""
-    items = F.array_sort(F.collect_list(F.when(gap_text(F.col("slot"), F.col("status")).isNotNull(), F.struct("slot_no", gap_text(F.col("slot"), F.col("status")).alias("gap")))))
-    out = slots.groupBy("feature_id").agg(items.alias("g"))
+    rows = slots.withColumn("_gap", gap_text())
+    items = F.array_sort(F.collect_list(F.when(F.col("_gap").isNotNull(), F.struct("slot_no", F.col("_gap").alias("gap")))))
+    out = rows.groupBy("feature_id").agg(items.alias("g"))
     return out.select("feature_id", F.size("g").alias("n_gaps"), F.concat_ws("; ", F.transform("g", lambda x: x["gap"])).alias("gaps"), (F.size("g") == 0).alias("complete"))
+
+
+def suggestions(slots: DataFrame) -> DataFrame:
+    """Per feature what would close its gaps, in a fixed order (feature_id, no, suggestion).
+
+    ``slots`` also has mocked, route, component and screen of the surfaces, and method and path of the first API.
+    """
+    slot, status = F.col("slot"), F.col("status")
+    lacks = status.isNull() | (status == "missing")
+    text = lambda *parts: F.concat(*[F.col(p[1:]) if p.startswith("$") else F.lit(p) for p in parts])
+    rate = F.format_string("%.0f%%)", F.coalesce("pass_rate", F.lit(0.0)) * 100)
+    told = [
+        ((slot == "unit.backend") & lacks & F.col("has_api"), F.lit("Add Go unit tests for the service/handler layer")),
+        ((slot == "unit.web") & lacks & F.col("has_web"), text("Add Vitest test for ", "$component", " component")),
+        ((slot == "unit.mobile") & lacks & F.col("has_mobile"), text("Add Jest test for ", "$screen", " screen")),
+        ((slot == "integration.backend") & lacks & F.col("has_api"), text("Add integration test for ", "$method", " ", "$path", " endpoint")),
+        ((slot == "e2e.web") & lacks & F.col("has_web"), text("Add Playwright spec for ", "$route", " route")),
+        ((slot == "e2e.mobile") & lacks & F.col("has_mobile"), text("Add Maestro flow for ", "$screen", " screen")),
+        ((slot == "unit.backend") & status.isNotNull() & F.col("mocked"), F.lit("Consider adding real integration tests — backend unit tests use mocks")),
+        ((slot == "e2e.web") & (status == "failing"), F.concat(F.lit("Fix failing web E2E tests (pass rate: "), rate)),
+        ((slot == "e2e.mobile") & (status == "failing"), F.concat(F.lit("Fix failing mobile E2E tests (pass rate: "), rate)),
+    ]
+    each = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(i).alias("no"), s.alias("suggestion"))) for i, (c, s) in enumerate(told)]))
+    return slots.select("feature_id", F.explode(each).alias("x")).select("feature_id", "x.no", "x.suggestion")

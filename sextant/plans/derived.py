@@ -84,28 +84,32 @@ VIEWS = {
                         ELSE 'src/contexts/bc' || c_nationkey || '/m' || (c_custkey % 40) || '.py' END AS file_path
             FROM customer) GROUP BY file_path""",
     "registry": """
-        SELECT 'd' || (p_partkey % 12) AS domain, 'd' || (p_partkey % 12) || '.' || replace(p_name, ' ', '-') || p_partkey AS feature_id, p_name AS name,
-               CASE p_size % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS priority,
-               p_partkey AS seq, p_partkey % 101 / 100.0e0 AS health
+        SELECT CASE WHEN p_partkey % 48 = 47 THEN '_unmapped' ELSE 'd' || (p_partkey % 12) END AS domain, 'd' || (p_partkey % 12) || '.' || replace(p_name, ' ', '-') || p_partkey AS feature_id, p_name AS name,
+               CASE WHEN p_partkey % 29 = 0 THEN 'urgent' ELSE CASE p_size % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END END AS priority,
+               p_partkey AS seq, p_partkey % 101 / 100.0e0 AS health, p_partkey % 6 AS gap_count
         FROM part""",
     "slots": """
-        SELECT 'd' || (p_partkey % 12) AS domain, 'd' || (p_partkey % 12) || '.' || replace(p_name, ' ', '-') || p_partkey AS feature_id,
-               CASE p_size % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS priority,
-               s.i AS slot_no, CASE s.i WHEN 0 THEN 'unit' WHEN 1 THEN 'integration' WHEN 2 THEN 'e2e_web' WHEN 3 THEN 'e2e_mobile'
-                            WHEN 4 THEN 'api' WHEN 5 THEN 'component' ELSE 'contract' END AS slot,
-               CASE (p_partkey + s.i * 3) % 7 WHEN 0 THEN 'covered' WHEN 1 THEN 'covered' WHEN 2 THEN 'partial' WHEN 3 THEN 'missing'
-                    WHEN 4 THEN 'failing' WHEN 5 THEN 'not-applicable' END AS status
+        SELECT CASE WHEN p_partkey % 48 = 47 THEN '_unmapped' ELSE 'd' || (p_partkey % 12) END AS domain, 'd' || (p_partkey % 12) || '.' || replace(p_name, ' ', '-') || p_partkey AS feature_id,
+               CASE WHEN p_partkey % 29 = 0 THEN 'urgent' ELSE CASE p_size % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END END AS priority,
+               s.i AS slot_no, CASE s.i WHEN 0 THEN 'unit.backend' WHEN 1 THEN 'unit.web' WHEN 2 THEN 'unit.mobile' WHEN 3 THEN 'integration.backend'
+                            WHEN 4 THEN 'integration.mobile' WHEN 5 THEN 'e2e.web' ELSE 'e2e.mobile' END AS slot,
+               CASE WHEN p_partkey % 37 = 0 THEN NULL ELSE CASE (p_partkey * (s.i + 2) + p_size * s.i) % 8 WHEN 0 THEN 'covered' WHEN 1 THEN 'covered' WHEN 2 THEN 'partial' WHEN 3 THEN 'missing'
+                    WHEN 4 THEN 'failing' WHEN 5 THEN 'not-applicable' END END AS status,
+               p_partkey % 2 = 0 AS has_api, p_partkey % 3 <> 0 AS has_web, p_partkey % 5 = 0 AS has_mobile, (p_partkey + s.i) % 3 = 0 AS mocked,
+               (p_partkey * 7 + s.i) % 101 / 100.0e0 AS pass_rate, '/r' || p_partkey AS route, 'C' || p_partkey AS component, 'S' || p_partkey AS screen
         FROM part CROSS JOIN (SELECT DISTINCT p_partkey % 7 AS i FROM part WHERE p_partkey < 7) s""",
     "nodes": """
         SELECT event_id AS id, 'd' || (user_id % 12) || '.x' || (event_id % 60) AS feature_id,
-               CASE event_id % 6 WHEN 0 THEN 'handler' WHEN 1 THEN 'service' WHEN 2 THEN 'repository' WHEN 3 THEN 'query' WHEN 4 THEN 'external' ELSE 'widget' END AS layer,
+               CASE event_id % 9 WHEN 0 THEN 'handler' WHEN 1 THEN 'service' WHEN 2 THEN 'repository' WHEN 3 THEN 'query' WHEN 4 THEN 'external' WHEN 5 THEN 'component'
+                    WHEN 6 THEN 'hook' WHEN 7 THEN 'handler' ELSE 'widget' END AS layer,
                CASE event_type WHEN 'error' THEN 'untested' WHEN 'signup' THEN 'partial' ELSE 'tested' END AS status,
-               event_id % 11 = 0 AS benchmarkable, event_id % 22 = 0 AS has_bench, event_id % 13 = 0 AS concurrent, event_id % 39 = 0 AS has_race
+               event_id % 4 = 0 AS has_bench, event_id % 5 = 0 AS has_race
         FROM events""",
     "test_metrics": """
         SELECT event_id AS id, event_id % 20 AS run_seq, 't' || (user_id % 300) AS name, 'pkg' || (user_id % 12) || '/x_test.go' AS file,
-               'f' || (user_id % 40) AS feature_id, CASE event_type WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'skip' ELSE 'pass' END AS status,
-               event_id * 7919 % 40000 * 1000000 AS duration_ns, event_id % 17 AS retries, CASE WHEN event_id % 5 = 0 THEN event_id * 31 % 100003 ELSE 0 END AS bytes_per_op,
+               CASE WHEN event_id % 31 <> 0 THEN 'f' || (user_id % 40) END AS feature_id,
+               CASE WHEN event_id % 23 = 0 THEN 'flaky' ELSE CASE event_type WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'skip' ELSE 'pass' END END AS status,
+               event_id * 7919 % 40000 * 1000000 + event_id % 7 AS duration_ns, CASE WHEN event_id % 5 = 0 THEN event_id % 17 ELSE 0 END AS retries, CASE WHEN event_id % 5 = 0 THEN event_id * 31 % 100003 ELSE 0 END AS bytes_per_op,
                event_id % 29 = 0 AS race_detected
         FROM events""",
 }

@@ -210,12 +210,13 @@ def _(t):
 
 
 @query("j15_shared_packages", """
-WITH seg AS (SELECT DISTINCT id, x FROM (SELECT id, unnest(string_split(file_path, '/')) AS x FROM symbols WHERE id < 150) WHERE len(x) > 3 AND x NOT IN ('contexts', 'tests'))
-SELECT DISTINCT a.id AS a, b.id AS b FROM seg a JOIN seg b ON a.x = b.x AND a.id < b.id""")
+WITH seg AS (SELECT DISTINCT id, x FROM (SELECT id, unnest(string_split(file_path, '/')) AS x FROM symbols) WHERE strlen(x) > 3 AND x NOT IN ('src', 'internal', 'pkg', 'cmd', 'tests', 'test', '__tests__'))
+SELECT id, x AS segment, n FROM seg JOIN (SELECT x, count(*) AS n FROM seg GROUP BY x HAVING count(*) > 1) USING (x)""")
 def _(t):
     from sextant.operators.legacy import shared_segments
+    from sextant.operators.scoring import COMMON_FOLDERS
 
-    return shared_segments(t.symbols.filter("id < 150"), "id", "file_path", ["contexts", "tests"])
+    return shared_segments(t.symbols, "id", "file_path", list(COMMON_FOLDERS))
 
 
 @query("j16_contract_merge", """

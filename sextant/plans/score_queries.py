@@ -152,27 +152,57 @@ def _(t):
     return _rounded(search.kind_bonus(rules, t.customer.select(F.col("c_custkey").alias("id"), name.alias("name"), F.lit("func").alias("kind"))), "bonus")
 
 
-_NODE = r"""
-WITH n AS (SELECT id, regexp_replace(file_path, '/?[^/]*$', '') AS folder, regexp_replace(regexp_replace(split_part(file_path, '/', -1), '\.[a-z]+$', ''), '^test_|_test$', '') AS stem FROM symbols WHERE id % 10 <> 0),
-x AS (SELECT DISTINCT regexp_replace(p, '/?[^/]*$', '') AS folder, regexp_replace(regexp_replace(split_part(p, '/', -1), '\.[a-z]+$', ''), '^test_|_test$', '') AS stem
-  FROM (SELECT CASE WHEN id % 20 = 0 THEN 'src/contexts/bc' || (id % 7) || '/test_m' || (id % 9) || '.py' ELSE file_path END AS p FROM symbols WHERE id % 10 = 0))
-SELECT id, CASE WHEN EXISTS (SELECT 1 FROM x WHERE x.folder = n.folder AND x.stem = n.stem) THEN 'tested'
-  WHEN EXISTS (SELECT 1 FROM x WHERE x.folder = n.folder) OR EXISTS (SELECT 1 FROM x WHERE x.stem = n.stem) THEN 'partial' ELSE 'untested' END AS status FROM n"""
+_NODES = """SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN 'internal/' || p_name || '/svc' || (p_partkey % 90) || '.go' WHEN 1 THEN 'web/src/pages/Page' || (p_partkey % 70) || '.tsx'
+  WHEN 2 THEN 'lib/m' || (p_partkey % 50) || '.ts' WHEN 3 THEN 'internal/billing/pay' || p_partkey || '.go' WHEN 4 THEN 'cmd/x' || p_partkey || '.go' WHEN 5 THEN 'main.go' WHEN 6 THEN 'pkg/abc/m' || p_partkey || '.go' END AS file_path,
+  'sql:Get' || (p_partkey % 40) AS name FROM part"""
+_TESTS = """SELECT CASE p_partkey % 7 WHEN 0 THEN 'internal/' || p_name || '/svc' || (p_partkey % 60) || '_test.go' WHEN 1 THEN 'web/src/pages/Page' || (p_partkey % 45) || '.spec.tsx' WHEN 2 THEN 'lib/m' || (p_partkey % 30) || '.test.ts'
+  WHEN 3 THEN 'other/x' || (p_partkey % 400) || '_integration_test.go' WHEN 4 THEN 'e2e/billing/a' || p_partkey || '.spec.ts' WHEN 5 THEN 'q/forget' || (p_partkey % 9) || '_e2e_test.go' ELSE 'q/test_m' || p_partkey || '.py' END AS file_path FROM part"""
+
+
+# a test beside; in the folder; of the name, endings taken off one after another; sharing a segment of over three bytes; by name
+@query("h08_node_status", rf"""
+WITH n AS ({_NODES}), t AS (SELECT DISTINCT file_path AS p FROM ({_TESTS})),
+d AS (SELECT p, CASE WHEN contains(p, '/') THEN regexp_replace(p, '/[^/]*$', '') ELSE '.' END AS folder,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '^.*/', ''), '\.[^.]*$', ''), '_test$', ''), '\.test$', ''), '\.spec$', ''), '_e2e_test$', ''), '_integration_test$', '') AS stem FROM t),
+seg AS (SELECT DISTINCT x FROM (SELECT unnest(string_split(p, '/')) AS x FROM t) WHERE strlen(x) > 3 AND x NOT IN ('src', 'internal', 'pkg', 'cmd', 'tests', 'test', '__tests__')),
+m AS (SELECT id, file_path, lower(replace(name, 'sql:', '')) AS q, regexp_replace(file_path, '\.[^./]*$', '') AS bare, CASE WHEN contains(file_path, '/') THEN regexp_replace(file_path, '/[^/]*$', '') ELSE '.' END AS folder FROM n),
+akin AS (SELECT DISTINCT id FROM (SELECT id, unnest(string_split(file_path, '/')) AS x FROM m) WHERE x IN (SELECT x FROM seg))
+SELECT id, CASE WHEN file_path IS NULL THEN CASE WHEN EXISTS (SELECT 1 FROM (SELECT DISTINCT lower(stem) AS s FROM d) z WHERE contains(z.s, m.q)) THEN 'partial' ELSE 'untested' END
+  WHEN bare || '_test.go' IN (SELECT p FROM t) OR bare || '.test.ts' IN (SELECT p FROM t) OR bare || '.test.tsx' IN (SELECT p FROM t) OR bare || '.spec.ts' IN (SELECT p FROM t) OR bare || '.spec.tsx' IN (SELECT p FROM t) THEN 'tested'
+  WHEN folder IN (SELECT folder FROM d) OR regexp_replace(bare, '^.*/', '') IN (SELECT stem FROM d) OR id IN (SELECT id FROM akin) THEN 'partial' ELSE 'untested' END AS status FROM m""")
+def _(t):
+    return S.node_status(t.sql(_NODES), t.sql(_TESTS))
 
 
-@query("h08_node_status", _NODE)
-def _(t):
-    path = F.when(F.col("id") % 20 == 0, F.concat(F.lit("src/contexts/bc"), F.col("id") % 7, F.lit("/test_m"), F.col("id") % 9, F.lit(".py"))).otherwise(F.col("file_path"))
-    return S.node_status(t.symbols.filter("id % 10 <> 0"), t.symbols.filter("id % 10 = 0").select(path.alias("file_path")))
+#: What a slot lacks.
+GAP = """CASE WHEN status IS NULL AND CASE WHEN slot IN ('unit.backend', 'integration.backend') THEN has_api WHEN slot IN ('unit.web', 'e2e.web') THEN has_web ELSE has_mobile END OR status = 'missing' THEN 'Missing ' || label || ' tests'
+  WHEN status = 'failing' THEN 'Failing ' || label || ' tests' || CASE WHEN slot LIKE 'e2e.%' THEN ' (pass rate: ' || trunc(pass_rate * 100)::INT || '%)' ELSE '' END
+  WHEN status = 'partial' THEN 'Partial ' || label || ' coverage — additional ' || CASE WHEN slot LIKE 'e2e.%' THEN 'scenarios' ELSE 'tests' END || ' needed' END"""
+LABELLED = "(SELECT *, replace(replace(slot, '.', ' '), 'e2e', 'E2E') AS label FROM slots)"
 
 
-@query("h09_feature_gaps", """
-SELECT feature_id, count(gap) AS n_gaps, coalesce(string_agg(gap, '; ' ORDER BY slot_no), '') AS gaps, count(gap) = 0 AS complete FROM (
-  SELECT feature_id, slot_no, CASE WHEN status IS NULL THEN slot || ' not tracked' WHEN status IN ('missing', 'failing', 'partial') THEN slot || ' ' || status END AS gap FROM slots) GROUP BY feature_id""")
+@query("h09_feature_gaps", f"""
+SELECT feature_id, count(gap) AS n_gaps, coalesce(string_agg(gap, '; ' ORDER BY slot_no), '') AS gaps, count(gap) = 0 AS complete FROM (SELECT feature_id, slot_no, {GAP} AS gap FROM {LABELLED}) GROUP BY feature_id""")
 def _(t):
     return S.feature_gaps(t.slots).withColumn("n_gaps", F.col("n_gaps").cast("long"))
 
 
+@query("h09_suggestions", """
+WITH s AS (SELECT *, status IS NULL OR status = 'missing' AS lacks FROM slots), x AS (
+  SELECT feature_id, 0 AS no, 'Add Go unit tests for the service/handler layer' AS suggestion FROM s WHERE slot = 'unit.backend' AND lacks AND has_api
+  UNION ALL SELECT feature_id, 1, 'Add Vitest test for ' || component || ' component' FROM s WHERE slot = 'unit.web' AND lacks AND has_web
+  UNION ALL SELECT feature_id, 2, 'Add Jest test for ' || screen || ' screen' FROM s WHERE slot = 'unit.mobile' AND lacks AND has_mobile
+  UNION ALL SELECT feature_id, 3, 'Add integration test for GET ' || route || ' endpoint' FROM s WHERE slot = 'integration.backend' AND lacks AND has_api
+  UNION ALL SELECT feature_id, 4, 'Add Playwright spec for ' || route || ' route' FROM s WHERE slot = 'e2e.web' AND lacks AND has_web
+  UNION ALL SELECT feature_id, 5, 'Add Maestro flow for ' || screen || ' screen' FROM s WHERE slot = 'e2e.mobile' AND lacks AND has_mobile
+  UNION ALL SELECT feature_id, 6, 'Consider adding real integration tests — backend unit tests use mocks' FROM s WHERE slot = 'unit.backend' AND status IS NOT NULL AND mocked
+  UNION ALL SELECT feature_id, 7, 'Fix failing web E2E tests (pass rate: ' || round(pass_rate * 100)::INT || '%)' FROM s WHERE slot = 'e2e.web' AND status = 'failing'
+  UNION ALL SELECT feature_id, 8, 'Fix failing mobile E2E tests (pass rate: ' || round(pass_rate * 100)::INT || '%)' FROM s WHERE slot = 'e2e.mobile' AND status = 'failing')
+SELECT feature_id, no::INT AS no, suggestion FROM x""")
+def _(t):
+    return S.suggestions(t.slots.withColumn("method", F.lit("GET")).withColumn("path", F.col("route")))
+
+
 # two versions of each table: the rows of one side lack some keys and differ in others
 _VERSIONS = {
     "d01_features": ("features", "id", ["kind"], "id <> 'f3'", "id <> 'f5'", {"kind": "CASE WHEN id IN ('f4', 'f6') THEN 'other' ELSE kind END"}),

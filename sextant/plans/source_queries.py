@@ -17,6 +17,7 @@ from sextant.plans import verbs
 from sextant.plans.derived import DAY_US, NOW_US
 from sextant.plans.graph_queries import MODULE_CYCLES, text_ordered
 from sextant.plans.registry import query
+from sextant.plans.score_queries import GAP, LABELLED
 from sextant.sources import annotations, declarations, files, reports, scans
 
 _ACTION = "CASE event_type WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'skip' WHEN 'view' THEN 'pass' WHEN 'click' THEN 'output' ELSE 'run' END"
@@ -176,9 +177,11 @@ def _(t):
     return files.graphql_operations(t.part.selectExpr("'s' || p_partkey AS file_path", text))
 
 
+# what follows a test's first run: any skip leaves it out, else its first end counts
 @query("s17_go_metrics", f"""
-WITH {_GO}, g AS (SELECT package, test, bool_or(action = 'run') AS ran, min(seq) FILTER (WHERE action IN ('pass', 'fail', 'skip')) AS e FROM ev WHERE r = 2 GROUP BY 1, 2)
-SELECT g.package, g.test, e.action AS status, CASE WHEN e.action IN ('pass', 'fail') THEN trunc(e.ms / 1000.0e0 * 1e9)::BIGINT ELSE 0 END AS duration_ns FROM g LEFT JOIN ev e ON e.seq = g.e WHERE ran""")
+WITH {_GO}, x AS (SELECT *, min(seq) FILTER (WHERE action = 'run') OVER (PARTITION BY package, test) AS begun FROM ev WHERE r = 2),
+g AS (SELECT package, test, bool_or(action = 'skip') AS skipped, min(seq) FILTER (WHERE action IN ('pass', 'fail')) AS e FROM x WHERE seq >= begun GROUP BY 1, 2)
+SELECT g.package, g.test, coalesce(e.action, '') AS status, CASE WHEN e.seq IS NULL THEN 0 ELSE trunc(e.ms / 1000.0e0 * 1e9)::BIGINT END AS duration_ns FROM g LEFT JOIN ev e ON e.seq = g.e WHERE NOT skipped""")
 def _(t):
     return files.go_metrics(reports.go_events(_go_lines(t).filter("report = '2'"))).select("package", "test", "status", "duration_ns")
 
@@ -206,18 +209,41 @@ def _(t):
     return files.named_queries(t.part.selectExpr("'q' || p_partkey AS file_path", text))
 
 
-@query("s13_python_symbols", """
-SELECT 'pkg.m' || p_partkey || v.suffix AS id, v.kind, v.line FROM part CROSS JOIN (SELECT * FROM (VALUES ('', 'module', 1), ('.A', 'type', 2), ('.A.run', 'method', 3), ('.go', 'func', 5)) x(suffix, kind, line)) v""")
+def _python_files(t):
+    """Python files of different shape: the part's number decides what stands at the marked lines."""
+    text = """concat('import os\\n', 'from ..base import X', p_partkey % 5, ', Y\\n',
+      CASE p_partkey % 4 WHEN 0 THEN 'if TYPE_CHECKING:' WHEN 1 THEN 'if not TYPE_CHECKING:' WHEN 2 THEN 'if typing.TYPE_CHECKING:' ELSE 'if sys.version > TYPE_CHECKING:' END, '\\n    from typing import Any\\n',
+      'try:\\n    import json\\n', CASE p_partkey % 5 WHEN 0 THEN 'except ImportError:' WHEN 1 THEN 'except (OSError, builtins.ModuleNotFoundError):' WHEN 2 THEN 'except ValueError:' WHEN 3 THEN 'except:' ELSE 'finally:' END, '\\n    pass\\n',
+      'MAX_', p_partkey % 3, ' = 1\\n_HIDDEN = lower = 2\\n',
+      '@deco(', p_partkey % 7, ')\\nclass A(Base', p_partkey % 4, ', m.Mixin):\\n    @staticmethod\\n    def run(self):\\n        helper(', p_partkey, ')\\n        def inner():\\n            return obj.call(lambda: deep())\\n        return inner()\\n',
+      'async def go():\\n    import re', p_partkey % 3, '\\n    [f(x) for x in g()]\\n', CASE WHEN p_partkey % 11 = 0 THEN 'def broken(:\\n' ELSE '' END) AS text"""
+    return t.part.selectExpr("'pkg/m' || p_partkey || CASE WHEN p_partkey % 6 = 0 THEN '/__init__.py' WHEN p_partkey % 13 = 0 THEN '.txt' ELSE '.py' END AS file_path", text)
+
+
+_PY = "py AS (SELECT p_partkey AS i, 'pkg.m' || p_partkey AS m FROM part WHERE p_partkey % 11 <> 0 AND (p_partkey % 6 = 0 OR p_partkey % 13 <> 0))"
+
+
+@query("s13_python_symbols", f"""
+WITH {_PY} SELECT m || replace(v.suffix, '#', (i % 3)::VARCHAR) AS id, v.kind, v.line FROM py
+CROSS JOIN (SELECT * FROM (VALUES ('', 'module', 1), ('.MAX_#', 'const', 9), ('.A', 'type', 12), ('.A.run', 'method', 14), ('.A.run.inner', 'func', 16), ('.go', 'func', 19)) x(suffix, kind, line)) v""")
+def _(t):
+    return files.python_symbols(_python_files(t)).select("id", "kind", "line")
+
+
+@query("s13_python_imports", f"""
+WITH {_PY} SELECT m AS source, v.target || CASE v.line WHEN 2 THEN CASE WHEN v.target = '..base.X' THEN (i % 5)::VARCHAR ELSE '' END WHEN 20 THEN (i % 3)::VARCHAR ELSE '' END AS target, v.line,
+  CASE v.line WHEN 4 THEN CASE WHEN i % 2 = 0 THEN 'type_checking' ELSE 'conditional' END WHEN 6 THEN CASE WHEN i % 5 < 2 THEN 'try_guard' ELSE 'module' END WHEN 20 THEN 'function' ELSE 'module' END AS scope
+FROM py CROSS JOIN (SELECT * FROM (VALUES ('os', 1), ('..base.X', 2), ('..base.Y', 2), ('typing.Any', 4), ('json', 6), ('re', 20)) x(target, line)) v""")
 def _(t):
-    text = "'import os\\nclass A:\\n    def run(self):\\n        pass\\nasync def go():\\n    import json\\n' AS text"
-    return files.python_symbols(t.part.selectExpr("'pkg/m' || p_partkey || '.py' AS file_path", text)).select("id", "kind", "line")
+    return files.python_imports(_python_files(t)).select("source", "target", "line", "scope")
 
 
-@query("s13_python_imports", """
-SELECT 'pkg.m' || p_partkey AS source, v.target, v.line, v.scope FROM part CROSS JOIN (SELECT * FROM (VALUES ('os', 1, 'module'), ('..base.X', 2, 'module'), ('typing.Any', 4, 'type_checking'), ('json', 6, 'try_guard'), ('re', 10, 'function')) x(target, line, scope)) v""")
+@query("s13_python_edges", f"""
+WITH {_PY}, e AS (SELECT m || v.suffix AS source, replace(replace(v.target, '#7', (i % 7)::VARCHAR), '#4', (i % 4)::VARCHAR) AS target, v.kind, v.line FROM py CROSS JOIN (SELECT * FROM (VALUES
+  ('.A', 'Base#4', 'inheritance', 12), ('.A', 'm.Mixin', 'inheritance', 12), ('.A', 'deco(#7)', 'decorator', 11), ('.A.run', 'staticmethod', 'decorator', 13), ('.A.run', 'helper', 'call', 15), ('.A.run', 'inner', 'call', 18),
+  ('.A.run.inner', 'obj.call', 'call', 17), ('.A.run.inner', 'deep', 'call', 17), ('.go', 'f', 'call', 21), ('.go', 'g', 'call', 21)) x(suffix, target, kind, line)) v) SELECT * FROM e""")
 def _(t):
-    text = "'import os\\nfrom ..base import X\\nif TYPE_CHECKING:\\n    from typing import Any\\ntry:\\n    import json\\nexcept ImportError:\\n    pass\\ndef f():\\n    import re\\n' AS text"
-    return files.python_imports(t.part.selectExpr("'pkg/m' || p_partkey || '.py' AS file_path", text)).select("source", "target", "line", "scope")
+    return files.python_edges(_python_files(t)).filter("kind <> 'import'").select("source", "target", "kind", "line")
 
 
 @query("s01_table_scan", "SELECT count(*) AS n, max(o_orderkey) AS last FROM orders WHERE o_orderstatus = 'F'")
@@ -234,30 +260,38 @@ def _(t):
 # --- resolution ------------------------------------------------------------------------------------------------
 
 
+_APP = "'app' || CAST(floor(p_partkey / 50) AS INT)"
+_FIRST = "(p_partkey - p_partkey % 50)"
+_OTHER = "(p_partkey - p_partkey % 50 + (p_partkey * 7 + j) % 48 - ((p_partkey - p_partkey % 50 + (p_partkey * 7 + j) % 48) % 4))"
+
+
 def _python(t):
-    """Nodes and edges of a package tree: modules m0..m9 of app.p0..app.p4, each with a function, some with a class."""
-    p = t.part.filter("p_partkey < 50").selectExpr("p_partkey AS i", "'app.p' || (p_partkey % 5) AS pkg", "'app.p' || (p_partkey % 5) || '.m' || p_partkey AS m")
+    """Nodes and edges of package trees, one of 50 modules in five packages for every 50 parts: each module has a function, some a class."""
+    p = t.part.selectExpr("p_partkey AS i", f"{_APP} || '.p' || (p_partkey % 5) AS pkg", f"{_APP} || '.p' || (p_partkey % 5) || '.m' || p_partkey AS m")
     nodes = (
         p.selectExpr("m AS id", "'module' AS kind", "replace(m, '.', '/') || '.py' AS file")
         .unionByName(p.selectExpr("m || '.run' AS id", "'func' AS kind", "'' AS file")).unionByName(p.filter("i % 3 = 0").selectExpr("m || '.Box.open' AS id", "'method' AS kind", "'' AS file"))
         .unionByName(p.filter("i % 4 = 0").selectExpr("m || '.only' || i AS id", "'func' AS kind", "'' AS file")).unionByName(p.select("pkg").distinct().selectExpr("pkg AS id", "'module' AS kind", "replace(pkg, '.', '/') || '/__init__.py' AS file"))
     )
-    calls = t.part.filter("p_partkey < 400").selectExpr(
-        "p_partkey AS seq", "'app.p' || (p_partkey % 50 % 5) || '.m' || (p_partkey % 50) || '.run' AS source",
-        "CASE p_partkey % 6 WHEN 0 THEN 'app.p1.m1.run' WHEN 1 THEN 'run' WHEN 2 THEN 'm' || (p_partkey % 50) || '.run' WHEN 3 THEN 'helper.x' WHEN 4 THEN 'only' || (p_partkey % 48 - p_partkey % 4) ELSE 'os.path' END AS target",
+    calls = t.part.crossJoin(t.spark.range(4).withColumnRenamed("id", "j")).selectExpr(  # four calls a module
+        "p_partkey * 4 + j AS seq", f"{_APP} || '.p' || (p_partkey % 5) || '.m' || p_partkey || '.run' AS source",
+        f"CASE (p_partkey + j) % 6 WHEN 0 THEN {_APP} || '.p' || ({_FIRST} % 5) || '.m' || {_FIRST} || '.run' WHEN 1 THEN 'run' WHEN 2 THEN 'm' || p_partkey || '.run' WHEN 3 THEN 'helper.x' WHEN 4 THEN 'only' || {_OTHER} ELSE 'os.path' END AS target",
         "'call' AS kind", "CAST(NULL AS string) AS scope")
-    imports = p.filter("i % 2 = 1").selectExpr("1000 + i AS seq", "m AS source", "'.m' || (i - 1) || '.helper' AS target", "'import' AS kind", "'module' AS scope")
+    imports = p.filter("i % 2 = 1").selectExpr("1000000000 + i AS seq", "m AS source", "'.m' || (i - 1) || '.helper' AS target", "'import' AS kind", "'module' AS scope")
     return nodes, calls.unionByName(imports)
 
 
-# what each target must become, stated from how the tree is made
-_RESOLVED = """
-c AS (SELECT p_partkey AS seq, p_partkey % 6 AS t, p_partkey % 50 AS i, 'app.p' || (p_partkey % 50 % 5) AS pkg, p_partkey % 48 - p_partkey % 4 AS k FROM part WHERE p_partkey < 400),
-calls AS (SELECT seq, pkg || '.m' || i || '.run' AS source, CASE t WHEN 0 THEN 'app.p1.m1.run' WHEN 1 THEN 'run' WHEN 2 THEN 'm' || i || '.run' WHEN 3 THEN 'helper.x' WHEN 4 THEN 'only' || k ELSE 'os.path' END AS target,
-  CASE t WHEN 0 THEN 'app.p1.m1.run' WHEN 1 THEN pkg || '.m' || i || '.run' WHEN 2 THEN pkg || '.m' || i || '.run' WHEN 3 THEN CASE WHEN i % 2 = 1 THEN pkg || '.m' || (i - 1) || '.helper' ELSE 'helper.x' END
-    WHEN 4 THEN CASE WHEN k % 5 = i % 5 THEN pkg || '.m' || k || '.only' || k ELSE 'only' || k END ELSE 'os.path' END AS resolved,
-  CASE t WHEN 0 THEN 'id' WHEN 1 THEN 'module' WHEN 2 THEN 'suffix' WHEN 3 THEN CASE WHEN i % 2 = 1 THEN 'alias' ELSE 'none' END WHEN 4 THEN CASE WHEN k = i THEN 'module' WHEN k % 5 = i % 5 THEN 'sibling' ELSE 'none' END ELSE 'none' END AS tier FROM c),
-found AS (SELECT * FROM calls UNION ALL SELECT 1000 + p_partkey, 'app.p' || (p_partkey % 5) || '.m' || p_partkey, '.m' || (p_partkey - 1) || '.helper', '.m' || (p_partkey - 1) || '.helper', 'none' FROM part WHERE p_partkey < 50 AND p_partkey % 2 = 1)"""
+# what each target must become, stated from how the trees are made: the first module of the tree, the own function by its
+# bare name or with the module, an imported alias, and a function that another module of the tree has (if that is in the package)
+_RESOLVED = f"""
+n AS (SELECT max(p_partkey) AS top, min(p_partkey) AS least FROM part),
+c AS (SELECT p_partkey * 4 + j AS seq, (p_partkey + j) % 6 AS t, p_partkey AS i, {_APP} AS app, {_APP} || '.p' || (p_partkey % 5) AS pkg, {_FIRST} AS f, {_OTHER} AS k FROM part CROSS JOIN (VALUES (0), (1), (2), (3)) x(j)),
+calls AS (SELECT seq, pkg || '.m' || i || '.run' AS source, CASE t WHEN 0 THEN app || '.p' || (f % 5) || '.m' || f || '.run' WHEN 1 THEN 'run' WHEN 2 THEN 'm' || i || '.run' WHEN 3 THEN 'helper.x' WHEN 4 THEN 'only' || k ELSE 'os.path' END AS target,
+  CASE t WHEN 0 THEN app || '.p' || (f % 5) || '.m' || f || '.run' WHEN 1 THEN pkg || '.m' || i || '.run' WHEN 2 THEN pkg || '.m' || i || '.run' WHEN 3 THEN CASE WHEN i % 2 = 1 THEN pkg || '.m' || (i - 1) || '.helper' ELSE 'helper.x' END
+    WHEN 4 THEN CASE WHEN there AND k % 5 = i % 5 THEN pkg || '.m' || k || '.only' || k ELSE 'only' || k END ELSE 'os.path' END AS resolved,
+  CASE t WHEN 0 THEN CASE WHEN f >= least THEN 'id' ELSE 'none' END WHEN 1 THEN 'module' WHEN 2 THEN 'suffix' WHEN 3 THEN CASE WHEN i % 2 = 1 THEN 'alias' ELSE 'none' END
+    WHEN 4 THEN CASE WHEN k = i THEN 'module' WHEN there AND k % 5 = i % 5 THEN 'sibling' ELSE 'none' END ELSE 'none' END AS tier FROM (SELECT *, k BETWEEN least AND top AS there FROM c, n)),
+found AS (SELECT * FROM calls UNION ALL SELECT 1000000000 + p_partkey, {_APP} || '.p' || (p_partkey % 5) || '.m' || p_partkey, '.m' || (p_partkey - 1) || '.helper', '.m' || (p_partkey - 1) || '.helper', 'none' FROM part WHERE p_partkey % 2 = 1)"""
 
 
 @query("r20_resolve_names", f"WITH {_RESOLVED} SELECT * FROM found")
@@ -271,33 +305,36 @@ def _(t):
     return resolve.stubs(resolve.resolve_names(nodes, edges), nodes)
 
 
-@query("r22_resolve_calls", """
-WITH c AS (SELECT p_partkey AS seq, 'Svc' || (p_partkey % 4) AS receiver, CASE p_partkey % 3 WHEN 0 THEN 'repo' WHEN 1 THEN 'store' ELSE 'misc' END AS variable, 'Get' || (p_partkey % 5) AS method FROM part WHERE p_partkey < 200),
-f AS (SELECT id, min(path) AS path, split_part(id, '.', 1) AS type, split_part(id, '.', 2) AS m FROM (
-  SELECT CASE p_partkey % 5 WHEN 0 THEN 'UserRepo' WHEN 1 THEN 'PgStore' ELSE 'miscThing' || (p_partkey % 5) END || '.Get' || (p_partkey % 7) AS id, 'internal' AS path FROM part WHERE p_partkey < 25) GROUP BY id),
-t AS (SELECT c.*, CASE WHEN variable = 'repo' THEN 'UserRepo' WHEN variable = 'store' AND receiver <> 'Svc3' THEN 'db.Store' END AS ft FROM c),
-k AS (SELECT t.*, coalesce(ft, variable) || '.' || method AS direct, CASE WHEN ft = 'db.Store' THEN 'PgStore.' || method END AS bound, lower(coalesce(split_part(ft, '.', -1), variable)) AS part FROM t),
-r AS (SELECT k.*, EXISTS (SELECT 1 FROM f WHERE id = direct) AS is_direct, EXISTS (SELECT 1 FROM f WHERE id = bound) AS is_bound,
-  (SELECT count(*) FROM f WHERE f.m = k.method AND contains(lower(f.type), k.part)) AS n, (SELECT min(id) FROM f WHERE f.m = k.method AND contains(lower(f.type), k.part)) AS any_id FROM k),
+# every hundred parts are a code base of their own: its number is in all names
+_BASE = "CAST(floor(p_partkey / 100) AS INT)"
+_CALLS = f"SELECT p_partkey AS seq, 'Svc' || (p_partkey % 4) || 'b' || {_BASE} AS receiver, CASE p_partkey % 3 WHEN 0 THEN 'repo' WHEN 1 THEN 'store' ELSE 'misc' END || {_BASE} || 'x' AS variable, 'Get' || (p_partkey % 5) || 'b' || {_BASE} AS method FROM part"
+_FUNCTIONS = f"SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN 'UserRepo' WHEN 1 THEN 'PgStore' ELSE 'misc' || {_BASE} || 'xThing' || (p_partkey % 5) END || CASE WHEN p_partkey % 5 < 2 THEN {_BASE} || 'x' ELSE '' END || '.Get' || (p_partkey % 7) || 'b' || {_BASE} AS id, 'internal/x.go' AS path FROM part WHERE p_partkey % 4 = 0"
+_FIELDS = f"SELECT DISTINCT 'Svc' || (p_partkey % 4) || 'b' || {_BASE} AS receiver, 'repo' || {_BASE} || 'x' AS variable, '*UserRepo' || {_BASE} || 'x' AS type FROM part UNION ALL SELECT DISTINCT 'Svc' || (p_partkey % 3) || 'b' || {_BASE}, 'store' || {_BASE} || 'x', 'db.Store' || {_BASE} || 'x' FROM part"
+_BINDINGS = f"SELECT DISTINCT 'Store' || {_BASE} || 'x' AS interface, '*pg.PgStore' || {_BASE} || 'x' AS concrete FROM part"
+
+
+@query("r22_resolve_calls", f"""
+WITH c AS ({_CALLS}), f AS (SELECT id, path, split_part(id, '.', 1) AS type, split_part(id, '.', 2) AS m FROM ({_FUNCTIONS})), d AS (SELECT receiver, variable, replace(type, '*', '') AS ft FROM ({_FIELDS})), b AS ({_BINDINGS}),
+k AS (SELECT c.*, ft, coalesce(ft, variable) || '.' || method AS direct, split_part(replace(b.concrete, '*', ''), '.', -1) || '.' || method AS bound, lower(coalesce(split_part(ft, '.', -1), variable)) AS part
+  FROM c LEFT JOIN d USING (receiver, variable) LEFT JOIN b ON b.interface = split_part(ft, '.', -1)),
+near AS (SELECT k.seq, count(*) AS n, min(f.id) AS any_id, count(*) FILTER (WHERE contains(ft, '.') AND contains(lower(f.path), lower(split_part(ft, '.', 1)))) AS n_p FROM k JOIN f ON f.m = k.method AND contains(lower(f.type), k.part) GROUP BY 1),
+r AS (SELECT k.*, direct IN (SELECT id FROM f) AS is_direct, coalesce(bound IN (SELECT id FROM f), false) AS is_bound, coalesce(n, 0) AS n, any_id FROM k LEFT JOIN near USING (seq)),
 x AS (SELECT *, CASE WHEN is_direct THEN direct WHEN is_bound THEN bound WHEN n = 1 THEN any_id END AS found FROM r)
 SELECT seq, coalesce(found, CASE WHEN ft IS NOT NULL THEN direct ELSE any_id END) AS callee, NOT CASE WHEN ft IS NOT NULL THEN found IS NOT NULL ELSE is_direct END AS ambiguous
 FROM x WHERE coalesce(found, CASE WHEN ft IS NOT NULL THEN direct ELSE any_id END) IS NOT NULL""")
 def _(t):
-    p = t.part.filter("p_partkey < 200")
-    calls = p.selectExpr("p_partkey AS seq", "'Svc' || (p_partkey % 4) AS receiver", "CASE p_partkey % 3 WHEN 0 THEN 'repo' WHEN 1 THEN 'store' ELSE 'misc' END AS variable", "'Get' || (p_partkey % 5) AS method")
-    functions = p.filter("p_partkey < 25").selectExpr("CASE p_partkey % 5 WHEN 0 THEN 'UserRepo' WHEN 1 THEN 'PgStore' ELSE 'miscThing' || (p_partkey % 5) END || '.Get' || (p_partkey % 7) AS id", "'internal/' || p_partkey || '/x.go' AS path").dropDuplicates(["id"])
-    fields = p.filter("p_partkey < 4").selectExpr("'Svc' || p_partkey AS receiver", "'repo' AS variable", "'*UserRepo' AS type").unionByName(p.filter("p_partkey < 3").selectExpr("'Svc' || p_partkey AS receiver", "'store' AS variable", "'db.Store' AS type"))
-    return resolve.resolve_calls(calls, functions, fields, t.spark.createDataFrame([("Store", "*pg.PgStore")], "interface string, concrete string"))
+    return resolve.resolve_calls(t.sql(_CALLS), t.sql(_FUNCTIONS), t.sql(_FIELDS), t.sql(_BINDINGS))
 
 
 @query("r23_merge_placeholders", """
-WITH f AS (SELECT 'H' || p_partkey || '.M' || (p_partkey % 5) AS id, 'M' || (p_partkey % 5) AS m, p_partkey % 2 = 0 AS good FROM part WHERE p_partkey < 8),
+WITH f AS (SELECT 'H' || p_partkey || '.M' || (p_partkey - p_partkey % 3) AS id, 'M' || (p_partkey - p_partkey % 3) AS m, p_partkey % 2 = 0 AND p_partkey % 5 <> 0 AS good FROM part WHERE p_partkey % 7 <> 0),
 one AS (SELECT m, count(*) FILTER (WHERE good) AS n_good, min(id) FILTER (WHERE good) AS good_id, count(*) AS n, min(id) AS any_id FROM f GROUP BY m),
-e AS (SELECT 'route' || p_partkey AS src, 'M' || (p_partkey % 6) AS m FROM part WHERE p_partkey < 60)
+e AS (SELECT 'route' || p_partkey AS src, 'M' || p_partkey AS m FROM part)
 SELECT e.src, CASE WHEN n_good = 1 THEN good_id WHEN n_good = 0 AND n = 1 THEN any_id ELSE 'ph.' || e.m END AS dst, coalesce(n_good > 1, false) AS ambiguous FROM e LEFT JOIN one USING (m)""")
 def _(t):
-    edges = t.part.filter("p_partkey < 60").selectExpr("'route' || p_partkey AS src", "'ph.M' || (p_partkey % 6) AS dst")
-    functions = t.part.filter("p_partkey < 8").selectExpr("'H' || p_partkey || '.M' || (p_partkey % 5) AS id", "CASE WHEN p_partkey % 2 = 0 THEN 'handler' ELSE 'service' END AS kind", "'x/y.go' AS path")
+    edges = t.part.selectExpr("'route' || p_partkey AS src", "'ph.M' || p_partkey AS dst")
+    functions = t.part.filter("p_partkey % 7 <> 0").selectExpr(
+        "'H' || p_partkey || '.M' || (p_partkey - p_partkey % 3) AS id", "CASE WHEN p_partkey % 2 = 0 THEN 'handler' ELSE 'service' END AS kind", "CASE WHEN p_partkey % 5 = 0 THEN 'x/mock_y.go' ELSE 'x/y.go' END AS path")
     return resolve.merge_placeholders(edges, edges.select(F.col("dst").alias("id")).distinct(), functions)
 
 
@@ -313,14 +350,18 @@ def _(t):
 
 @query("k01_ingest_counts", """
 SELECT 'symbols' AS "table", count(*) AS added FROM (SELECT DISTINCT s.qualified_name FROM symbols s JOIN file_hashes h ON h.file_path = s.file_path WHERE s.id % 2 = 0 AND h.least % 3 <> 0)
-UNION ALL SELECT 'file_hashes', count(*) FILTER (WHERE least % 3 = 1) FROM file_hashes UNION ALL SELECT 'annotations', 0 UNION ALL SELECT 'edges', 0""")
+UNION ALL SELECT 'file_hashes', count(*) FILTER (WHERE least % 3 = 1) FROM file_hashes
+UNION ALL SELECT 'annotations', count(*) FROM (SELECT DISTINCT a.file_path, a.line, a.kind FROM annotations a JOIN file_hashes h ON h.file_path = a.file_path WHERE h.least % 3 <> 0) x
+  WHERE NOT EXISTS (SELECT 1 FROM annotations o WHERE o.id % 4 <> 0 AND o.file_path = x.file_path AND o.line = x.line AND o.kind = x.kind)
+UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT e.src, e.dst, e.kind, s.file_path, e.line FROM edges e JOIN symbols s ON s.id = e.src JOIN file_hashes h ON h.file_path = s.file_path WHERE h.least % 3 <> 0) x
+  WHERE NOT EXISTS (SELECT 1 FROM edges o JOIN symbols s ON s.id = o.src WHERE o.seq % 3 <> 0 AND o.src = x.src AND o.dst = x.dst AND o.kind = x.kind AND o.line = x.line)""")
 def _(t):
     s = t.symbols.select("qualified_name", "file_path", F.col("id").alias("seq"))
-    empty = t.edges.limit(0).select("src", "dst", "kind", F.lit("").alias("file_path"), "line", "seq")
-    notes = t.annotations.limit(0).select("file_path", "line", "kind", "value", F.col("id").alias("seq"))
+    edges = t.edges.join(t.symbols.select(F.col("id").alias("src"), "file_path"), "src").select("src", "dst", "kind", "file_path", "line", "seq")
+    notes = t.annotations.select("file_path", "line", "kind", "value", F.col("id").alias("seq"))
     old = t.file_hashes.filter("least % 3 <> 1").select("file_path", F.when(F.col("least") % 3 == 0, F.col("content_hash")).otherwise("old").alias("content_hash"))
-    stored = {"symbols": s.filter("seq % 2 = 1"), "edges": empty, "annotations": notes, "file_hashes": old}
-    return I.ingest_scan(stored, {"symbols": s, "edges": empty, "annotations": notes, "file_hashes": t.file_hashes.select("file_path", "content_hash")})[1]
+    stored = {"symbols": s.filter("seq % 2 = 1"), "edges": edges.filter("seq % 3 <> 0"), "annotations": notes.filter("seq % 4 <> 0"), "file_hashes": old}
+    return I.ingest_scan(stored, {"symbols": s, "edges": edges, "annotations": notes, "file_hashes": t.file_hashes.select("file_path", "content_hash")})[1]
 
 
 @query("k02_upsert", """
@@ -368,15 +409,16 @@ def _(t):
 # --- registry --------------------------------------------------------------------------------------------------
 
 
-@query("j14_map_tests", """
-SELECT 'x/' || CASE p_partkey % 4 WHEN 0 THEN 'D3/u_test.go' WHEN 1 THEN 'd1/q/D2/u_test.go' WHEN 2 THEN 'd5.smoke/u_test.go' ELSE 'other/u_test.go' END AS file_path, p_partkey AS i, count(r.feature_id) AS n
-FROM part LEFT JOIN registry r ON r.domain = CASE p_partkey % 4 WHEN 0 THEN 'd3' WHEN 1 THEN 'd2' WHEN 2 THEN 'd5' END WHERE p_partkey < 40 AND p_partkey % 4 <> 3 GROUP BY 1, 2""")
+_TEST_PATH = "CASE p_partkey % 4 WHEN 0 THEN 'x' || p_partkey || '/D3/u_test.go' WHEN 1 THEN 'x' || p_partkey || '/d1/q/D2/u_test.go' WHEN 2 THEN 'x' || p_partkey || '/d5.smoke/u_test.go' ELSE 'x' || p_partkey || '/other/u_test.go' END"
+
+
+@query("j14_map_tests", f"""
+WITH d AS (SELECT domain, count(*) AS n, min(feature_id) AS first FROM registry GROUP BY domain)
+SELECT {_TEST_PATH} AS file_path, d.n, d.first FROM part JOIN d ON d.domain = CASE p_partkey % 4 WHEN 0 THEN 'd3' WHEN 1 THEN 'd2' WHEN 2 THEN 'd5' END""")
 def _(t):
-    tail = F.element_at(F.array(*map(F.lit, ("D3/u_test.go", "d1/q/D2/u_test.go", "d5.smoke/u_test.go", "other/u_test.go"))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    tests = t.part.filter("p_partkey < 40").select(F.col("p_partkey").alias("i"), F.concat(F.lit("x/"), tail).alias("file_path"))
+    tests = t.part.selectExpr(f"{_TEST_PATH} AS file_path")
     none = t.spark.createDataFrame([], "file_path string, feature_id string")
-    found = legacy.map_tests(tests.select("file_path").distinct(), none, t.registry).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
-    return tests.join(found, "file_path").select("file_path", "i", "n")
+    return legacy.map_tests(tests, none, t.registry).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.min("feature_id").alias("first"))
 
 
 @query("r26_feature_page", "SELECT seq, feature_id, priority FROM registry WHERE (contains(feature_id, 'e') OR contains(priority, 'e')) AND floor(health * 100) BETWEEN 50 AND 79 ORDER BY seq LIMIT 15 OFFSET 15")
@@ -384,13 +426,13 @@ def _(t):
     return legacy.feature_table(t.registry, text="E", band="at-risk", page=2).select("seq", "feature_id", "priority")
 
 
-@query("r27_status_filter", "SELECT DISTINCT domain, feature_id, priority FROM slots WHERE domain = 'd3' AND priority = 'high' AND status = 'failing'")
+@query("r27_status_filter", "SELECT DISTINCT domain, feature_id, priority FROM slots WHERE domain = 'd3' AND priority = 'low' AND status = 'failing'")
 def _(t):
-    return legacy.status_filter(t.slots, "d3", "high", "failing")
+    return legacy.status_filter(t.slots, "d3", "low", "failing")
 
 
-@query("r28_open_gaps", """
-SELECT r.seq, r.feature_id, g.n AS n_gaps FROM registry r JOIN (SELECT feature_id, count(*) FILTER (WHERE status IS NULL OR status IN ('missing', 'failing', 'partial')) AS n FROM slots GROUP BY 1) g USING (feature_id)
+@query("r28_open_gaps", f"""
+SELECT r.seq, r.feature_id, g.n AS n_gaps FROM registry r JOIN (SELECT feature_id, count({GAP}) AS n FROM {LABELLED} GROUP BY 1) g USING (feature_id)
 WHERE priority IN ('critical', 'high') AND health < 0.4 AND g.n > 0 ORDER BY seq LIMIT 30""")
 def _(t):
     out = legacy.open_gaps(t.registry, feature_gaps(t.slots), ["critical", "high"], 0.4, 30)
@@ -402,10 +444,13 @@ def _(t):
     return legacy.audit_list(t.registry, ["low", "medium"], 0.7, sort="health", limit=25).select("seq", "feature_id", "health")
 
 
-@query("c07_check_feature", """
-SELECT feature_id, count(*) FILTER (WHERE status IS NULL OR status IN ('missing', 'failing', 'partial')) AS n_gaps FROM slots WHERE domain = 'd4' GROUP BY feature_id""")
+@query("c07_check_feature", f"""
+SELECT feature_id, count({GAP}) AS n_gaps, coalesce(string_agg({GAP}, '; ' ORDER BY slot_no), '') AS gaps, count({GAP}) = 0 AS complete, string_agg(slot || '=' || status, ',' ORDER BY slot_no) AS entries FROM {LABELLED} WHERE domain = 'd4' GROUP BY feature_id""")
 def _(t):
-    return feature_gaps(t.slots.filter("domain = 'd4'")).select("feature_id", F.col("n_gaps").cast("long").alias("n_gaps"))
+    mine = t.slots.filter("domain = 'd4'")
+    there = F.array_sort(F.collect_list(F.when(F.col("status").isNotNull(), F.struct("slot_no", F.concat_ws("=", "slot", "status").alias("e")))))
+    entries = mine.groupBy("feature_id").agg(there.alias("x")).select("feature_id", F.when(F.size("x") > 0, F.concat_ws(",", F.transform("x", lambda e: e["e"]))).alias("entries"))
+    return feature_gaps(mine).withColumn("n_gaps", F.col("n_gaps").cast("long")).join(entries, "feature_id")
 
 
 @query("c09_merge_registry", "SELECT feature_id, priority FROM registry WHERE seq % 3 <> 0 UNION ALL SELECT feature_id, 'new' FROM registry WHERE seq % 6 = 0")
@@ -428,9 +473,9 @@ def _(t):
     return where_equal(t.symbols, kind="func").join(near, "id", "left_semi").select("id", "kind")
 
 
-@query("c15_dot_lines", """SELECT '"' || src || '" -> "' || dst || '" [label="' || kind || '"];' AS line FROM edges WHERE seq < 500""")
+@query("c15_dot_lines", """SELECT '"' || src || '" -> "' || dst || '" [label="' || kind || '"];' AS line FROM edges""")
 def _(t):
-    return legacy.to_dot(t.edges.filter("seq < 500"))
+    return legacy.to_dot(t.edges)
 
 
 # --- scans and verbs -------------------------------------------------------------------------------------------
@@ -492,9 +537,9 @@ def _(t):
     return verbs.contracts(t.symbols, "interface").select("id", "qualified_name")
 
 
-@query("c08_report", "SELECT domain, count(DISTINCT feature_id) AS features, count(*) FILTER (WHERE status = 'covered') AS slots_covered FROM slots GROUP BY domain")
+@query("c08_report", "SELECT domain, count(DISTINCT feature_id) AS features, count(DISTINCT CASE WHEN status = 'covered' AND slot LIKE 'unit.%' THEN feature_id END) AS covered_unit FROM slots GROUP BY domain")
 def _(t):
-    return coverage.registry_metrics(t.slots).filter("level = 'domain'").select(F.col("name").alias("domain"), "features", "slots_covered")
+    return coverage.registry_metrics(t.slots).filter("level = 'domain'").select(F.col("name").alias("domain"), "features", "covered_unit")
 
 
 def _go_files(t):

@@ -145,6 +145,11 @@ def parse_annotations(files: DataFrame, marks: Marks = MARKS) -> DataFrame:
 
 
 def to_store(annotations: DataFrame) -> DataFrame:
-    """Rows as they are kept: API notes are left out, ids and tags make the value, the last of a (file, line, kind) wins."""
+    """Rows as they are kept: API notes are left out, ids and tags make the value, the last of a (file, line, kind) wins, whole.
+
+    A line has one note, so the last is that of the largest ``seq``, if there is one; the larger (source, value) settles ties.
+    """
     kept = annotations.filter("kind <> 'api'").withColumn("value", F.array_join(F.concat("ids", "tags"), " "))
-    return kept.groupBy("file_path", "line", "kind").agg(F.max("value").alias("value"), F.max("source").alias("source"))
+    order = [F.col("seq")] if "seq" in annotations.columns else []
+    last = F.max(F.struct(*order, "source", "value"))
+    return kept.groupBy("file_path", "line", "kind").agg(last.alias("x")).select("file_path", "line", "kind", "x.value", "x.source")

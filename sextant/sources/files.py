@@ -101,17 +101,23 @@ BENCHMARK, RACE = r"(\S+)\s+\d+\s+[\d.]+ ns/op\s+(\d+) B/op\s+(\d+) allocs/op",
 
 
 def go_metrics(events: DataFrame) -> DataFrame:
-    """Per package and test that was run: its first end, bytes and allocations per operation, and whether its package raced."""
-    end = F.when(F.col("action").isin("pass", "fail", "skip"), F.col("seq"))
+    """Per package and test that was run: how it ended, bytes and allocations per operation, and whether its package raced.
+
+    Only what follows a test's first run counts: its first pass or fail, the last figures of a benchmark, and any skip,
+    which leaves the test out. A test that never ended has an empty status and no duration.
+    """
+    started = F.min(F.when(F.col("action") == "run", F.col("seq"))).over(Window.partitionBy("package", "test"))
+    mine = events.filter("test <> ''").withColumn("_run", started).filter("seq >= _run")
+    end = F.when(F.col("action").isin("pass", "fail"), F.col("seq"))
     out = F.when(F.col("action") == "output", F.col("output"))
     n = lambda i: F.max_by(F.regexp_extract(out, BENCHMARK, i).try_cast("long"), F.when(out.rlike(BENCHMARK), F.col("seq")))
-    races = events.filter((F.col("action") == "output") & F.col("output").contains(RACE)).select("package").distinct().withColumn("race", F.lit(True))
-    tests = events.filter("test <> ''").groupBy("package", "test").agg(
-        F.max((F.col("action") == "run").cast("int")).alias("ran"), F.min_by(F.struct("action", "elapsed"), end).alias("e"), n(2).alias("bytes_per_op"), n(3).alias("allocs_per_op"))
-    took = F.when(F.col("e.action") == "skip", 0).otherwise((F.col("e.elapsed") * 1e9).cast("long"))
-    return tests.filter("ran = 1").join(races, "package", "left").select(
-        "package", "test", F.col("e.action").alias("status"), F.coalesce(took, F.lit(0)).alias("duration_ns"), F.coalesce("bytes_per_op", F.lit(0)).alias("bytes_per_op"),
-        F.coalesce("allocs_per_op", F.lit(0)).alias("allocs_per_op"), F.coalesce("race", F.lit(False)).alias("race_detected"))
+    raced = (F.col("action") == "output") & F.col("output").contains(RACE)
+    races = events.filter(raced & (F.coalesce("test", F.lit("")) == "")).select("package").unionByName(mine.filter(raced).select("package")).distinct().withColumn("race", F.lit(True))
+    tests = mine.groupBy("package", "test").agg(
+        F.max((F.col("action") == "skip").cast("int")).alias("skipped"), F.min_by(F.struct("action", "elapsed"), end).alias("e"), n(2).alias("bytes_per_op"), n(3).alias("allocs_per_op"))
+    return tests.filter("skipped = 0").join(races, "package", "left").select(
+        "package", "test", F.coalesce("e.action", F.lit("")).alias("status"), F.coalesce((F.col("e.elapsed") * 1e9).cast("long"), F.lit(0)).alias("duration_ns"),
+        F.coalesce("bytes_per_op", F.lit(0)).alias("bytes_per_op"), F.coalesce("allocs_per_op", F.lit(0)).alias("allocs_per_op"), F.coalesce("race", F.lit(False)).alias("race_detected"))
 
 
 def latest_run_results(events: DataFrame) -> DataFrame:
@@ -127,76 +133,128 @@ def camel_head(name: Column) -> Column:
 
 
 SYMBOLS = "file_path string, id string, kind string, line int"
-IMPORTS = "file_path string, source string, target string, line int, scope string"
+EDGES = "file_path string, source string, target string, kind string, line int, scope string"
+
+_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_NAMED = (*_FUNCTIONS, ast.ClassDef)
 
 
 def _module(path: str) -> str:
     return path.removesuffix(".py").removesuffix("/__init__").replace("/", ".")
 
 
-def python_symbols(files: DataFrame) -> DataFrame:
-    """Modules, classes, functions and methods of Python files, with the standard library's parser; broken files have none."""
-
-    def walk(body: list, prefix: str, inside: str) -> Iterator[tuple[str, str, int]]:
-        for node in body:
-            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                yield f"{prefix}.{node.name}", "method" if inside == "class" else "func", node.lineno
-            elif isinstance(node, ast.ClassDef):
-                yield f"{prefix}.{node.name}", "type", node.lineno
-                yield from walk(node.body, f"{prefix}.{node.name}", "class")
+def _parsed(files: DataFrame, found, schema: str) -> DataFrame:
+    """What ``found(module, tree)`` yields for each Python file, after its path; broken files have nothing."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for path, text in zip(pdf["file_path"], pdf["text"]):
                 try:
-                    tree = ast.parse(text or "")
-                except (SyntaxError, ValueError):
+                    out += [(path, *x) for x in found(_module(path), ast.parse(text or ""))]
+                except (SyntaxError, ValueError, RecursionError):
                     continue
-                out.append((path, _module(path), "module", 1))
-                out += [(path, *x) for x in walk(tree.body, _module(path), "module")]
-            yield pd.DataFrame(out, columns=["file_path", "id", "kind", "line"])
+            yield pd.DataFrame(out, columns=names)
 
-    return files.filter(F.col("file_path").endswith(".py")).select("file_path", "text").mapInPandas(parse, SYMBOLS)
+    return files.filter(F.col("file_path").endswith(".py")).select("file_path", "text").mapInPandas(parse, schema)
 
 
-def python_imports(files: DataFrame) -> DataFrame:
-    """Imports of Python files with their scope: type checking before a guarding try, a function, a condition and the module."""
-
-    def scope_of(above: tuple) -> str:
-        for scope in ("type_checking", "try_guard", "function", "conditional"):
-            if scope in above:
-                return scope
-        return "module"
-
-    def walk(node: ast.AST, above: tuple) -> Iterator[tuple[str, int, str]]:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, ast.Import):
-                yield from ((a.name, child.lineno, scope_of(above)) for a in child.names)
-            elif isinstance(child, ast.ImportFrom):
-                base = "." * child.level + (child.module or "")
-                yield from ((base + ("." if child.module else "") + a.name if a.name != "*" else base, child.lineno, scope_of(above)) for a in child.names)
-            else:
-                mark = ()
-                if isinstance(child, ast.If):
-                    mark = ("type_checking",) if "TYPE_CHECKING" in ast.dump(child.test) else ("conditional",)
-                elif isinstance(child, ast.Try):
-                    mark = ("try_guard",)
-                elif isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)):
-                    mark = ("function",)
-                yield from walk(child, above + mark)
+def _definitions(body: list, owner: str, in_class: bool = False) -> Iterator[tuple[str, ast.AST, bool]]:
+    """Classes and functions of a body and, below them, those of their bodies: id, node, and whether it is a class's own."""
+    for node in body:
+        if isinstance(node, _NAMED):
+            name = f"{owner}.{node.name}"
+            yield name, node, in_class
+            yield from _definitions(node.body, name, isinstance(node, ast.ClassDef))
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for path, text in zip(pdf["file_path"], pdf["text"]):
-                try:
-                    out += [(path, _module(path), *x) for x in walk(ast.parse(text or ""), ())]
-                except (SyntaxError, ValueError):
-                    continue
-            yield pd.DataFrame(out, columns=["file_path", "source", "target", "line", "scope"])
 
-    return files.filter(F.col("file_path").endswith(".py")).select("file_path", "text").mapInPandas(parse, IMPORTS)
+def python_symbols(files: DataFrame) -> DataFrame:
+    """Modules, classes, functions, methods and a module's constants (upper case, no underscore in front) of Python files, with
+    the standard library's parser. Functions in functions have the outer one's id in front."""
+
+    def found(module: str, tree: ast.Module) -> Iterator[tuple[str, str, int]]:
+        yield module, "module", 1
+        for name, node, in_class in _definitions(tree.body, module):
+            yield name, "type" if isinstance(node, ast.ClassDef) else "method" if in_class else "func", node.lineno
+        for node in tree.body:
+            if isinstance(node, ast.Assign):
+                yield from ((f"{module}.{t.id}", "const", node.lineno) for t in node.targets if isinstance(t, ast.Name) and t.id.isupper() and t.id[0] != "_")
+
+    return _parsed(files, found, SYMBOLS)
+
+
+def _guards_import(node: ast.Try) -> bool:
+    """Whether a handler names ImportError or ModuleNotFoundError, alone or in a tuple; a bare one does not."""
+    wanted = [h.type for h in node.handlers if h.type is not None]
+    while wanted:
+        kind = wanted.pop()
+        if isinstance(kind, ast.Tuple):
+            wanted += kind.elts
+        elif getattr(kind, "id", getattr(kind, "attr", "")) in ("ImportError", "ModuleNotFoundError"):
+            return True
+    return False
+
+
+def _scopes(node: ast.AST) -> str | None:
+    """The scope that a node puts imports below it in."""
+    if isinstance(node, ast.If):
+        plain = isinstance(node.test, (ast.Name, ast.Attribute)) and getattr(node.test, "id", getattr(node.test, "attr", "")) == "TYPE_CHECKING"
+        return "type_checking" if plain else "conditional"
+    if isinstance(node, ast.Try):
+        return "try_guard" if _guards_import(node) else None
+    return "function" if isinstance(node, _FUNCTIONS) else None
+
+
+#: Scopes from the one that wins.
+SCOPES = ("type_checking", "try_guard", "function", "conditional")
+
+
+def _imports(node: ast.AST, above: frozenset = frozenset()) -> Iterator[tuple[str, int, str]]:
+    """Imports at any depth: target, line and scope."""
+    for child in ast.iter_child_nodes(node):
+        scope = next((s for s in SCOPES if s in above), "module")
+        if isinstance(child, ast.Import):
+            yield from ((a.name, child.lineno, scope) for a in child.names)
+        elif isinstance(child, ast.ImportFrom):
+            base = "." * child.level + (child.module or "")
+            yield from ((base + ("" if base.endswith(".") or not base else ".") + a.name, child.lineno, scope) for a in child.names)
+        else:
+            yield from _imports(child, above | {_scopes(child)})
+
+
+def _calls(nodes: list) -> Iterator[ast.Call]:
+    """Calls below some nodes, but not in classes and functions below them, which have their own."""
+    for node in nodes:
+        if not isinstance(node, _NAMED):
+            if isinstance(node, ast.Call):
+                yield node
+            yield from _calls(list(ast.iter_child_nodes(node)))
+
+
+def python_edges(files: DataFrame) -> DataFrame:
+    """Edges of Python files: source, target as it is written, kind, line and scope.
+
+    ``import``: from the module, with its scope: type checking before a guarding try, a function, a condition and the module.
+    ``inheritance``: from a class to its bases. ``decorator``: from classes and functions. ``call``: from a function to what it
+    calls itself, calls in lambdas and comprehensions too.
+    """
+
+    def found(module: str, tree: ast.Module) -> Iterator[tuple]:
+        for name, node, _ in _definitions(tree.body, module):
+            if isinstance(node, ast.ClassDef):
+                yield from ((name, ast.unparse(b), "inheritance", b.lineno, None) for b in node.bases)
+            yield from ((name, ast.unparse(d), "decorator", d.lineno, None) for d in node.decorator_list)
+            if isinstance(node, _FUNCTIONS):
+                yield from ((name, ast.unparse(c.func), "call", c.lineno, None) for c in _calls(node.body))
+        yield from ((module, target, "import", line, scope) for target, line, scope in _imports(tree))
+
+    return _parsed(files, found, EDGES)
+
+
+def python_imports(files: DataFrame) -> DataFrame:
+    """The import edges of Python files: file_path, source, target, line and scope."""
+    return python_edges(files).filter("kind = 'import'").select("file_path", "source", "target", "line", "scope")
 
 
 def read_registry(files: DataFrame) -> DataFrame:

@@ -32,12 +32,162 @@ def test_tree_walk_stops_at_ancestors_only(spark, edges):
 
 def test_trace_enters_a_node_once(spark, edges):
     diamond = edges([(1, 3), (1, 2), (2, 4), (3, 4)])
-    got = G.trace_from(diamond, ids(spark, 1), known=ids(spark, 1, 2, 3)).orderBy("order").collect()
+    got = G.trace_from(diamond, ids(spark, 1)).orderBy("order").collect()
     assert [(r["node"], r["depth"], r["is_cycle"]) for r in got] == [(1, 0, False), (2, 1, False), (4, 2, False), (3, 1, False), (4, 2, True)]
-    assert {round(r["confidence"], 9) for r in got} == {0.9}
     assert G.trace_from(diamond, ids(spark, 1), depth=1).count() == 3
 
 
+def test_unknown_nodes_are_not_entered(spark, edges):
+    g = edges([(1, 2), (2, 3), (1, 4), (4, 2)])
+    got = G.trace_from(g, ids(spark, 1), known=ids(spark, 1, 3, 4)).orderBy("order").collect()
+    assert [r["node"] for r in got] == [1, 4] and {round(r["confidence"], 9) for r in got} == {0.81}
+    assert [(r["node"], r["confidence"]) for r in G.trace_from(g, ids(spark, 2), known=ids(spark, 1, 3, 4)).collect()] == [(None, 0.0)]
+    assert G.trace_callers(g, ids(spark, 2), known=ids(spark, 1, 3, 4)).count() == 0
+
+
+def trace_brute(pairs, root, depth, known):
+    """The trace of a root and its confidence, by recursion."""
+    if root not in known:
+        return [(None, None, False)], 0.0
+    out, entered, confidence = [], set(), [1.0]
+
+    def enter(node, level):
+        out.append((node, level, node in entered))
+        if node in entered:
+            return
+        entered.add(node)
+        if depth > 0 and level >= depth:
+            return
+        for child in sorted(b for a, b in pairs if a == node):
+            if child in known:
+                enter(child, level + 1)
+            else:
+                confidence[0] *= 0.9
+
+    enter(root, 0)
+    return out, confidence[0]
+
+
+def callers_brute(pairs, root, depth, known):
+    """The chains of callers of a root, furthest first, by recursion."""
+    entered = {root}
+
+    def chains(node, level):
+        out = []
+        if depth > 0 and level >= depth:
+            return out
+        for caller in sorted(a for a, b in pairs if b == node):
+            if caller in entered or caller not in known:
+                continue
+            entered.add(caller)
+            out += [[*above, (caller, level)] for above in chains(caller, level + 1)] or [[(caller, level)]]
+        return out
+
+    return chains(root, 0) if root in known else []
+
+
+def path_brute(pairs, names, target, hint, depth):
+    """The chain to a target, by a search with a queue."""
+    if target not in names:
+        return None
+    queue, entered, found = [[target]], {target}, []
+    while queue:
+        path = queue.pop(0)
+        if len(path) > depth:
+            continue
+        callers = [a for a, b in pairs if b == path[0]]
+        if not callers:
+            found.append(path)
+        for c in callers:
+            if c not in entered:
+                entered.add(c)
+                queue.append([c, *path])
+    name = lambda p: names.get(p[0], str(p[0]))
+    for p in found if hint else ():
+        if hint in name(p):
+            return p
+    for p in found:
+        if name(p).startswith("route:"):
+            return p
+    return max(found, key=len, default=None)
+
+
+def random_graph(seed, n=26, m=48):
+    rng = random.Random(seed)
+    return [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(100 + i, rng.randrange(n)) for i in range(5)]
+
+
+@pytest.mark.parametrize("depth", [0, 3])
+def test_traces_like_recursion(spark, edges, depth):
+    pairs = random_graph(depth)
+    known = {x for p in pairs for x in p if x % 7 != 3}
+    roots = sorted({x for p in pairs for x in p})
+    g, r, k = edges(pairs), ids(spark, *roots), ids(spark, *known)
+    got, conf = {x: [] for x in roots}, {}
+    for row in G.trace_from(g, r, depth, k).orderBy("root", "order").collect():
+        got[row["root"]].append((row["node"], row["depth"], row["is_cycle"]))
+        conf[row["root"]] = row["confidence"]
+    for x in roots:
+        want, c = trace_brute(pairs, x, depth, known)
+        assert got[x] == want and conf[x] == pytest.approx(c)
+    chains = {x: {} for x in roots}
+    for row in G.trace_callers(g, r, depth, k).orderBy("root", "chain", "place").collect():
+        chains[row["root"]].setdefault(row["chain"], []).append((row["node"], row["depth"]))
+    for x in roots:
+        assert list(chains[x].values()) == callers_brute(pairs, x, depth, known)
+
+
+@pytest.mark.parametrize(("hint", "depth"), [("", 20), ("page", 4), ("PAGE", 5), ("svc", 3)])
+def test_chain_to_a_target_like_a_queue(spark, edges, hint, depth):
+    pairs = random_graph(9, 22, 26)
+    names = {x: f"{'page' if x % 3 == 0 else 'route:r' if x % 4 == 1 else 'svc'}{x}" for p in pairs for x in p if x % 11 != 10}
+    table, g = spark.createDataFrame(list(names.items()), "id long, name string"), edges(pairs)
+    for target in (3, 8, 10, 14, 21):
+        row = G.paths_to(g, table, target, hint, depth).first()
+        assert (row and row["path"]) == path_brute(pairs, names, target, hint, depth)
+
+
+def test_insertion_cycles_like_searches(edges):
+    pairs = random_graph(4, 30, 60)
+    near, want = {}, {}
+    for i, (a, b) in enumerate(pairs):
+        seen, stack = {b}, [b]
+        while stack:
+            for y in near.get(stack.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    stack.append(y)
+        want[i] = a in seen
+        near.setdefault(a, set()).add(b)
+    assert dict(G.insertion_cycles(edges(pairs)).collect()) == want and any(want.values())
+
+
+def test_cycle_walks_like_steps(edges):
+    pairs = random_graph(5, 40, 60)
+    g = edges(pairs)
+    comp = dict(G.strong_components(g).collect())
+    for r in G.cycle_walks(g, G.strong_components(g)).collect():
+        walk = [r["component"]]
+        while nxt := sorted(b for a, b in pairs if a == walk[-1] and comp.get(b) == r["component"] and b not in walk):
+            walk.append(nxt[0])
+        assert r["walk"] == " -> ".join(map(str, walk))
+
+
+def test_sequential_prune_like_a_sweep(spark, edges):
+    pairs = random_graph(6, 40, 50)
+    kept, front = {1, 2}, [1, 2]
+    while front:
+        x = front.pop()
+        for a, b in pairs:
+            if a == x and b not in kept:
+                kept.add(b)
+                front.append(b)
+    for a, b in pairs:
+        if b in kept:
+            kept.add(a)
+    assert {r["id"] for r in G.prune(edges(pairs), ids(spark, 1, 2), sequential=True).collect()} == kept
+
+
 CASES = {
     "none": ([], []), "chain": ([(1, 2), (2, 3)], []), "pair": ([(1, 2), (2, 1)], [{1, 2}]), "triangle": ([(1, 2), (2, 3), (3, 1)], [{1, 2, 3}]),
     "self": ([(1, 1), (1, 2)], []), "parallel": ([(1, 2), (1, 2), (2, 1)], [{1, 2}]), "several": ([(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 3)], [{1, 2}, {3, 4, 5}]),
@@ -87,7 +237,8 @@ def test_chain_to_a_target(spark, edges):
     names = spark.createDataFrame([(1, "route:a"), (2, "svc"), (3, "target"), (4, "page")], "id long, name string")
     g = edges([(1, 2), (2, 3), (4, 3)])
     assert G.paths_to(g, names, 3).first()["path"] == [1, 2, 3]
-    assert G.paths_to(g, names, 3, hint="PAGE").first()["path"] == [4, 3]
+    assert G.paths_to(g, names, 3, hint="page").first()["path"] == [4, 3]
+    assert G.paths_to(g, names, 3, hint="PAGE").first()["path"] == [1, 2, 3]
     assert G.paths_to(edges([(1, 2), (2, 1)]), names, 1).count() == 0
 
 

@@ -92,8 +92,46 @@ def test_trends_and_health(spark):
     m = spark.createDataFrame(rows, "feature_id string, run_seq long, status string, id long")
     assert [r["feature_id"] for r in K.failing_trends(m).collect()] == ["f"]
     assert K.failing_trends(m, newest_first=True).count() == 0
-    t = spark.createDataFrame([(1, "pass", 0), (1, "pass", 0), (2, "pass", 0), (2, "fail", 0)], "run_seq int, status string, duration_ns long")
+    t = spark.createDataFrame([("f", 1, "pass", 0), ("f", 1, "flaky", 0), ("f", 2, "pass", 0), ("f", 2, "fail", 0), (None, 3, "pass", 0)], "feature_id string, run_seq int, status string, duration_ns long")
     assert {r["run_seq"]: r["pass_rate"] for r in C.health_trend(t).collect()} == {1: 1.0, 2: 0.5}
+    runs = spark.createDataFrame([(1, 10, 5, 2, 3), (2, 0, 0, 0, 0), (3, 4, 1, 3, 3)], "run_seq int, total long, passed long, failed long, flaky long")
+    assert [tuple(r) for r in C.trend_series(runs).orderBy("run_seq").collect()] == [(1, 50, 80, 40), (2, 0, 100, 100), (3, 25, 25, 0)]
+
+
+SLOTS = "domain string, priority string, feature_id string, slot_no int, slot string, status string, has_api boolean, has_web boolean, has_mobile boolean, pass_rate double"
+
+
+def slots_of(spark, features):
+    """Rows of every slot from (domain, priority, id, {slot: status}, surfaces)."""
+    return spark.createDataFrame([(d, p, f, i, s, there.get(s), "api" in has, "web" in has, "mobile" in has, 0.456) for d, p, f, there, has in features for i, s in enumerate(C.SLOTS)], SLOTS)
+
+
+def test_registry_figures(spark):
+    slots = slots_of(spark, [
+        ("a", "high", "f1", {"unit.backend": "covered", "e2e.web": "failing"}, ["api"]), ("a", "urgent", "f2", {"unit.web": "not-applicable", "integration.mobile": "covered"}, []),
+        ("_unmapped", "high", "f3", {}, ["web"]), ("b", "high", "f4", {"unit.mobile": "partial", "unit.web": "missing", "e2e.mobile": "covered"}, [])])
+    assert {r["feature_id"]: r["health"] for r in C.registry_health(slots).collect()} == {"f1": 0.5, "f2": 0.5, "f3": 0.0, "f4": pytest.approx(2 / 3)}
+    assert {r["feature_id"]: r["health"] for r in C.dashboard_health(slots).collect()} == {"f1": 1.0, "f2": 1.0, "f3": 0.0, "f4": 0.0}
+    assert {r["priority"]: (r["features"], r["at_target"], r["pct"]) for r in C.priority_rings(slots).collect()} == {"critical": (0, 0, 0), "high": (3, 1, 33), "medium": (0, 0, 0), "low": (0, 0, 0)}
+    assert [tuple(r) for r in C.status_table(slots).orderBy("domain").collect()] == [("a", 2, 1, 1, 0), ("b", 1, 0, 0, 1)]
+    assert [tuple(r)[:2] for r in C.status_table(slots, priority="high").orderBy("domain").collect()] == [("a", 1), ("b", 2)]
+    gaps = {r["feature_id"]: r["gaps"] for r in S.feature_gaps(slots).collect()}
+    assert gaps["f1"] == "Missing integration backend tests; Failing E2E web tests (pass rate: 45%)"
+    assert gaps["f2"] == "" and gaps["f3"] == "Missing unit web tests; Missing E2E web tests"
+    assert gaps["f4"] == "Missing unit web tests; Partial unit mobile coverage — additional tests needed"
+
+
+def test_priorities_without_a_target(spark):
+    reg = spark.createDataFrame([("x", "critical", 0.95, 2), ("y", "urgent", 0.3, 1), ("z", "low", 0.4, 0)], "feature_id string, priority string, health double, gap_count int")
+    assert {r["priority"]: (r["total"], r["at_target"], r["gaps"]) for r in C.tier_summary(reg).collect()} == {"critical": (1, 0, 2), "high": (0, 0, 0), "medium": (0, 0, 0), "low": (1, 1, 0), "overall": (3, 1, 3)}
+    assert [(r["feature_id"], round(r["score"], 9)) for r in K.legacy_sprint(reg).collect()] == [("x", 0.2), ("y", 0.2)]
+
+
+def test_node_status_tiers(spark):
+    nodes = spark.createDataFrame([(1, "a.x", "svc/auth.go"), (2, "a.y", "web/Page.tsx"), (3, "b", "svc/other.go"), (4, "c", "q/user.ts"), (5, "d", "z/payments/x.go"), (6, "e", "src/lone.go"), (7, "sql:getUser", ""), (8, "sql:drop", None), (9, "f", "main.go")],
+                                  "id long, name string, file_path string")
+    tests = spark.createDataFrame([("svc/auth_test.go",), ("web/Page.spec.tsx",), ("r/user_integration_test.go",), ("r/user.spec.ts",), ("e2e/payments/a.spec.ts",), ("src/unit/GetUserById_test.go",)], "file_path string")
+    assert dict(S.node_status(nodes, tests).collect()) == {1: "tested", 2: "tested", 3: "partial", 4: "partial", 5: "partial", 6: "untested", 7: "partial", 8: "untested", 9: "untested"}
 
 
 def test_diagnosis_ranks_the_culprit(spark):
