@@ -106,6 +106,27 @@ def valid_json(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.try_parse_json(column).isNotNull())
 
 
+def audit_snapshot(scores: DataFrame, run_id: int, computed_us: int) -> DataFrame:
+    """An audit's scores as stored rows (id, computed_us, feature_id, score_json): a row per feature, so that none grows with the audit."""
+    return scores.select(F.lit(run_id).cast("long").alias("id"), F.lit(computed_us).cast("long").alias("computed_us"), "feature_id", F.to_json(F.struct(*scores.columns)).alias("score_json"))
+
+
+def audit_history(snapshots: DataFrame, n: int = 0) -> DataFrame:
+    """The stored audits, newest first: id, computed_us and how many features they scored; the last ``n``, 0 for all."""
+    runs = snapshots.groupBy("id", "computed_us").agg(F.count(F.lit(1)).alias("features")).orderBy(F.desc("computed_us"), F.desc("id"))
+    return runs.limit(n) if n > 0 else runs
+
+
+def load_audit(snapshots: DataFrame, schema: str, run_id: int | None = None) -> DataFrame:
+    """The scores of a stored audit, the latest if none is named; no row if there is none."""
+    if run_id is None:
+        # one row
+        mine = snapshots.join(F.broadcast(audit_history(snapshots, 1).select("id")), "id", "left_semi")
+    else:
+        mine = snapshots.filter(F.col("id") == run_id)
+    return mine.select(F.from_json("score_json", schema).alias("s")).select("s.*")
+
+
 def swap(df: DataFrame, path: str) -> None:
     """Replace the Parquet folder ``path``: the rows are written beside it, so readers of ``path`` can be in ``df``. The old
     folder is set aside before the new one takes its name and goes only then: a stop in between leaves the old rows in

@@ -18,7 +18,7 @@ from sextant.plans.derived import DAY_US, NOW_US
 from sextant.plans.graph_queries import MODULE_CYCLES, text_ordered
 from sextant.plans.registry import query
 from sextant.plans.score_queries import GAP, LABELLED
-from sextant.sources import annotations, declarations, files, reports, scans
+from sextant.sources import annotations, declarations, files, patterns, reports, scans
 
 _ACTION = "CASE event_type WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'skip' WHEN 'view' THEN 'pass' WHEN 'click' THEN 'output' ELSE 'run' END"
 
@@ -169,12 +169,16 @@ def _(t):
     return files.parse_blame(t.part.selectExpr("'f' || p_partkey AS file_path", f"{text} AS text"))
 
 
+def _schemas(t):
+    text = r'''concat('# schema\ntype Query {\n  item(id: ID!): ', replace(p_name, ' ', ''), '!\n  # note: x\n}\ntype Item {\n  id: ID\n}\n"""\ntype Query {\n"""\nextend type Mutation {\n  go: Int\n}\n') AS text'''
+    return t.part.selectExpr("'s' || p_partkey AS file_path", text)
+
+
 @query("s14_s21_graphql", """
 SELECT 's' || p_partkey AS file_path, v.line, v.name, v.sig || CASE WHEN v.line = 3 THEN p_name || '!' ELSE 'Int' END || ' }' AS signature, CASE WHEN v.line = 3 THEN p_name || '!' ELSE 'Int' END AS return_type
 FROM (SELECT p_partkey, replace(p_name, ' ', '') AS p_name FROM part) CROSS JOIN (SELECT * FROM (VALUES (3, 'Query.item', 'query { item(id: ID!): '), (13, 'Mutation.go', 'mutation { go: ')) x(line, name, sig)) v""")
 def _(t):
-    text = r'''concat('# schema\ntype Query {\n  item(id: ID!): ', replace(p_name, ' ', ''), '!\n  # note: x\n}\ntype Item {\n  id: ID\n}\n"""\ntype Query {\n"""\nextend type Mutation {\n  go: Int\n}\n') AS text'''
-    return files.graphql_operations(t.part.selectExpr("'s' || p_partkey AS file_path", text))
+    return files.graphql_operations(_schemas(t))
 
 
 # what follows a test's first run: any skip leaves it out, else its first end counts
@@ -251,10 +255,45 @@ def _(t):
     return where_equal(t.orders, o_orderstatus="F").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("last"))
 
 
-@query("s22_pattern_matches", "SELECT symbol_id, pattern, confidence FROM pattern_matches WHERE confidence < 1.0")
+def _services(t):
+    """Go files with services, aggregates and calls of an outbox, some of which only look like it."""
+    text = r"""concat('package p', p_partkey % 3, '\n\n// s.outbox.Append(x) in a comment\ntype Order struct {\n  ID string\n  ', CASE p_partkey % 4 WHEN 0 THEN 'domain.EventRecorder' WHEN 1 THEN '*EventRecorder' WHEN 2 THEN 'rec EventRecorder' ELSE 'domain.Recorder' END, '\n}\n\n',
+      'func (s *Service) Place(ctx context.Context) error {\n  return s.uow.', CASE p_partkey % 5 WHEN 0 THEN 'Do' ELSE 'Run' END, '(ctx, func(ctx context.Context) error {\n    s.repo.', CASE p_partkey % 2 WHEN 0 THEN 'Save' ELSE 'Find' END, '(ctx, "s.outbox.Append(")\n    return s.',
+      CASE p_partkey % 3 WHEN 0 THEN 'outbox' WHEN 1 THEN 'Outbox' ELSE 'inbox' END, '.Append(ctx)\n  })\n}\n\nfunc flush(outbox *Outbox) {\n  ', CASE p_partkey % 7 WHEN 0 THEN 'outbox.AppendFromContext(ctx)' ELSE 'outbox.Drop(ctx)' END, '\n}\n') AS text"""
+    return t.part.selectExpr("'svc/f' || p_partkey || '.go' AS file_path", text)
+
+
+@query("s22_pattern_matches", """
+SELECT 'svc/f' || p_partkey || '.go' AS file_path, v.pattern, CASE v.no WHEN 3 THEN 'p' || (p_partkey % 3) || '.flush' WHEN 1 THEN 'Order' ELSE 'Service.Place' END AS symbol, v.line,
+  CASE v.no WHEN 1 THEN CASE WHEN p_partkey % 4 = 0 THEN 'embeds domain.EventRecorder' ELSE 'embeds EventRecorder' END WHEN 2 THEN CASE WHEN p_partkey % 3 = 0 THEN 'calls outbox.Append' ELSE 'calls Outbox.Append' END
+    WHEN 3 THEN 'calls outbox.AppendFromContext' ELSE 'Run closure has both repo.Save and outbox.Append' END AS detail,
+  CASE v.no WHEN 1 THEN CASE WHEN p_partkey % 4 = 0 THEN 1.0e0 ELSE 0.95e0 END WHEN 3 THEN 0.85e0 ELSE 1.0e0 END AS confidence
+FROM part CROSS JOIN (SELECT * FROM (VALUES (1, 'event-recorder-embed', 4), (2, 'outbox-append', 12), (3, 'outbox-append', 17), (4, 'canonical-service', 9)) x(no, pattern, line)) v
+WHERE CASE v.no WHEN 1 THEN p_partkey % 4 < 2 WHEN 2 THEN p_partkey % 3 < 2 WHEN 3 THEN p_partkey % 7 = 0 ELSE p_partkey % 5 <> 0 AND p_partkey % 2 = 0 END""")
+def _(t):
+    return patterns.pattern_matches(_services(t))
+
+
+@query("s17_playwright_metrics", """
+SELECT (event_id % 40)::VARCHAR AS report, 'p' || event_id AS name, 'e2e/Shop/cart' || (event_id % 40) || '.spec.ts' AS file, 'shop.cart' || (event_id % 40) AS feature_id,
+  CASE WHEN event_id % 9 = 0 THEN 'fail' ELSE CASE event_type WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'skip' ELSE 'flaky' END END AS status,
+  CASE WHEN event_id % 9 = 0 THEN 5 ELSE event_id % 977 END * 1000000 AS duration_ns, CASE WHEN event_id % 9 = 0 THEN 0 ELSE 1 END AS retries FROM events""")
 def _(t):
-    kept = t.pattern_matches.groupBy("symbol_id").agg(F.collect_list(F.struct("pattern", "confidence")).alias("m"))
-    return kept.select("symbol_id", F.explode(F.filter("m", lambda x: x["confidence"] < 1.0)).alias("x")).select("symbol_id", "x.*")
+    return reports.playwright_metrics(_playwright(t))
+
+
+@query("s17_vitest_metrics", """
+SELECT (event_id // 500)::VARCHAR AS report, 't' || event_id AS name, 'src/tests/Mod' || (event_id // 50 % 7) || '/file' || (event_id // 50) || '.test.ts' AS file, 'mod' || (event_id // 50 % 7) || '.file' || (event_id // 50) || '.test.ts' AS feature_id,
+  CASE event_type WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'fail' WHEN 'click' THEN 'fail' ELSE 'pass' END AS status, event_id % 977 * 1000000 AS duration_ns, 0 AS retries FROM events""")
+def _(t):
+    return reports.vitest_metrics(_vitest(t))
+
+
+@query("s18_playwright_outcomes", """
+SELECT (event_id % 40)::VARCHAR AS report, 'p' || event_id AS name, 'e2e/Shop/cart' || (event_id % 40) || '.spec.ts' AS file, 'shop.cart' || (event_id % 40) AS feature_id,
+  event_id % 9 <> 0 AND event_type NOT IN ('error', 'signup') AS passed, CASE WHEN event_id % 9 = 0 THEN 5 ELSE event_id % 977 END * 1000000 AS duration_ns FROM events""")
+def _(t):
+    return reports.playwright_outcomes(_playwright(t))
 
 
 # --- resolution ------------------------------------------------------------------------------------------------
@@ -532,9 +571,18 @@ def _(t):
     return verbs.trace(t, "feature:f7", 2)
 
 
-@query("c05_contracts", "SELECT id, qualified_name FROM symbols WHERE kind = 'interface'")
+@query("c05_contracts", """
+SELECT 'f' || p_partkey || '.go' AS file_path, 'route' AS kind, 'h.List' AS name, 'GET' AS method, '/v' || p_partkey || '/items' AS path FROM part""")
 def _(t):
-    return verbs.contracts(t.symbols, "interface").select("id", "qualified_name")
+    """Contracts of a kind, of those found in sources."""
+    return verbs.contracts(_contracts(t), "route").select("file_path", "kind", "name", "method", "path")
+
+
+@query("c05_all_contracts", """
+SELECT 'f' || p_partkey || '.go' AS file_path, v.kind, v.name, v.rank AS kind_rank FROM part CROSS JOIN (SELECT * FROM (VALUES ('huma-op', 'h.Op', 0), ('route', 'h.List', 1)) x(kind, name, rank)) v
+UNION ALL SELECT 's' || p_partkey, 'graphql', v.name, 2 FROM part CROSS JOIN (SELECT * FROM (VALUES ('Query.item'), ('Mutation.go')) x(name)) v""")
+def _(t):
+    return verbs.contracts(_contracts(t)).select("file_path", "kind", "name", "kind_rank")
 
 
 @query("c08_report", "SELECT domain, count(DISTINCT feature_id) AS features, count(DISTINCT CASE WHEN status = 'covered' AND slot LIKE 'unit.%' THEN feature_id END) AS covered_unit FROM slots GROUP BY domain")
@@ -548,6 +596,16 @@ def _go_files(t):
     return t.part.selectExpr("'f' || p_partkey || '.go' AS file_path", text)
 
 
+def _contracts(t):
+    """Contract definitions that the extractors find in Go sources and GraphQL schemas."""
+    go = _go_files(t)
+    routes = declarations.http_routes(go).select("file_path", F.lit("route").alias("kind"), F.col("handler").alias("name"), "method", "path", "line")
+    operations = declarations.operations(go).select("file_path", F.lit("huma-op").alias("kind"), F.col("handler").alias("name"), "method", "path", F.lit(0).alias("line"))
+    none = F.lit(None).cast("string")
+    graphql = files.graphql_operations(_schemas(t)).select("file_path", F.lit("graphql").alias("kind"), "name", none.alias("method"), none.alias("path"), "line")
+    return routes.unionByName(operations).unionByName(graphql)
+
+
 @query("s11_go_symbols", """
 SELECT 'f' || p_partkey || '.go' AS file_path, v.line, CASE v.line WHEN 3 THEN 'p' || (p_partkey % 3) || '.Repo' || p_partkey WHEN 6 THEN 'p' || (p_partkey % 3) || '.Store' WHEN 9 THEN 'Repo' || p_partkey || '.Get' ELSE 'p' || (p_partkey % 3) || '.New' END AS qualified_name, v.kind
 FROM part CROSS JOIN (SELECT * FROM (VALUES (3, 'type'), (6, 'interface'), (9, 'method'), (10, 'func')) x(line, kind)) v""")
@@ -577,9 +635,21 @@ def _(t):
     return declarations.bindings(_go_files(t))
 
 
-@query("k07_audit_history", "SELECT id, finished_us FROM coverage_runs ORDER BY finished_us DESC, id DESC LIMIT 5")
+def _audits(t):
+    """Three stored audits of the registry, the second of the high priorities only."""
+    scores = t.registry.select("feature_id", "priority", "health")
+    return I.audit_snapshot(scores, 1, 10).unionByName(I.audit_snapshot(scores.filter("priority IN ('critical', 'high')"), 2, 30)).unionByName(I.audit_snapshot(scores.filter("health >= 0.5"), 3, 20))
+
+
+@query("k07_audit_history", """
+SELECT 2::BIGINT AS id, 30::BIGINT AS computed_us, count(*) AS features FROM registry WHERE priority IN ('critical', 'high') UNION ALL SELECT 3, 20, count(*) FROM registry WHERE health >= 0.5""")
+def _(t):
+    return I.audit_history(_audits(t), 2)
+
+
+@query("k07_latest_audit", "SELECT feature_id, priority, health FROM registry WHERE priority IN ('critical', 'high')")
 def _(t):
-    return t.coverage_runs.orderBy(F.desc("finished_us"), F.desc("id")).limit(5).select("id", "finished_us")
+    return I.load_audit(_audits(t), "feature_id string, priority string, health double")
 
 
 @query("c06_stale_features", "SELECT id FROM features WHERE updated_us < NOW_US - 30 * DAY_US")

@@ -132,6 +132,60 @@ def playwright_results(reports: DataFrame, marks: Marks = MARKS) -> DataFrame:
     return _named(reports.select("report", "text").mapInPandas(parse, RESULT), "playwright", marks)
 
 
+#: Folders that say nothing about a feature in the older tool's metrics.
+METRIC_NOISE = ("e2e", "tests", "test", "specs")
+METRIC = "report string, name string, file string, status string, duration_ns long, retries int"
+
+
+def _metric_feature(file: Column) -> Column:
+    """``folder.file`` as the older tool has it: the last folder that is no noise, also ``.`` for none."""
+    stem = F.lower(F.regexp_replace(F.regexp_replace(paths.basename(file), r"\.spec\.ts$", ""), r"\.spec\.js$", ""))
+    telling = F.filter(F.transform(F.split(paths.dirname(file), "/"), F.lower), lambda x: ~x.isin(*METRIC_NOISE))
+    return F.when(F.size(telling) > 0, F.concat(F.element_at(telling, -1), F.lit("."), stem)).otherwise(stem)
+
+
+def playwright_metrics(reports: DataFrame) -> DataFrame:
+    """Metrics of Playwright reports (report, text): name, file, feature_id, status, duration_ns, retries. The last result
+    counts; every result before it is a retry, and a test that passed after one is flaky. A suite without a file has that
+    of the suite around it, the outermost its title."""
+
+    def rows(report: str, text: str) -> Iterator[tuple]:
+        work = [(s, "") for s in reversed(json.loads(text).get("suites") or [])]
+        while work:
+            suite, above = work.pop()
+            file = suite.get("file") or above or suite.get("title") or ""
+            for spec in suite.get("specs") or []:
+                for test in spec.get("tests") or []:
+                    results = test.get("results") or []
+                    last = results[-1] if results else {"status": "passed" if test.get("status") == "expected" else "failed", "duration": test.get("duration")}
+                    status = {"passed": "flaky" if len(results) > 1 else "pass", "skipped": "skip"}.get(last.get("status"), "fail")
+                    yield report, spec.get("title") or "", file, status, int(last.get("duration") or 0) * 1_000_000, max(0, len(results) - 1)
+            work += [(s, file) for s in reversed(suite.get("suites") or [])]
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in METRIC.split(", ")]
+        for pdf in batches:
+            yield pd.DataFrame([x for r, t in zip(pdf["report"], pdf["text"]) for x in rows(r, t)], columns=names)
+
+    out = reports.select("report", "text").mapInPandas(parse, METRIC)
+    return out.withColumn("feature_id", _metric_feature(F.col("file")))
+
+
+def vitest_metrics(reports: DataFrame) -> DataFrame:
+    """Metrics of Vitest reports (report, text): name, file, feature_id, status, duration_ns, retries (none are told)."""
+    t = reports.select("report", F.explode(F.from_json("text", VITEST)["testResults"]).alias("t")).select("report", F.col("t.name").alias("file"), F.explode("t.assertionResults").alias("a"))
+    s = F.col("a.status")
+    status = F.when(s == "passed", "pass").when(s.isin("skipped", "pending"), "skip").otherwise("fail")
+    took = F.coalesce(F.col("a.duration"), F.lit(0.0)).cast("long") * 1_000_000
+    return t.select("report", F.coalesce("a.title", F.lit("")).alias("name"), "file", status.alias("status"), took.alias("duration_ns"), F.lit(0).alias("retries"), _metric_feature(F.col("file")).alias("feature_id"))
+
+
+def playwright_outcomes(reports: DataFrame) -> DataFrame:
+    """What the older tool's update reads from Playwright reports: file, feature_id, whether the test passed, duration_ns."""
+    m = playwright_metrics(reports)
+    return m.select("report", "name", "file", "feature_id", F.col("status").isin("pass", "flaky").alias("passed"), "duration_ns")
+
+
 def maestro_results(reports: DataFrame, marks: Marks = MARKS) -> DataFrame:
     """Results of Maestro reports (report, text), JUnit XML or JSON by the first character that is no space.
 

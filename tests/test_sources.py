@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sextant.functions import paths
 from sextant.operators import ingest as I
 from sextant.operators import legacy, resolve
-from sextant.sources import annotations, files, reports
+from sextant.sources import annotations, files, patterns, reports
 
 
 def go_lines(spark, *events):
@@ -172,3 +172,63 @@ def test_tests_map_to_features(spark):
     for r in legacy.map_tests(tests, marked, registry).collect():
         got.setdefault(r["file_path"], set()).add(r["feature_id"])
     assert got == {"a/auth/pay/x_test.go": {"pay.card"}, "src/Auth/x_test.go": {"auth.login", "auth.out"}, "web/pay.smoke/x.spec.ts": {"pay.card"}, "named/auth/x.go": {"own.f"}}
+
+
+def test_patterns_read_code_only():
+    go = """package svc
+
+// u.outbox.Append(x)
+var s = "outbox.Append("
+type (
+	Agg struct {
+		*rec.EventRecorder
+		id int
+	}
+	Plain struct { Recorder EventRecorder }
+)
+
+func (a *Agg) Do(f func(x interface{ Run() }) error) error {
+	return a.uow.Run(ctx, opt(1), func(ctx context.Context) (struct{ a int }, error) {
+		x.repo.Upsert(ctx)
+		return deep().Outbox.AppendFromContext(ctx, func() { y() })
+	})
+}
+
+func free() { a.uow.Run(ctx, wrap(func() { r.Save(); o.outbox.Append() })) }
+"""
+    got = sorted(patterns.matches(go), key=lambda m: (m[2], m[0]))
+    assert got == [
+        ("event-recorder-embed", "Agg", 6, "embeds rec.EventRecorder", 1.0),
+        ("canonical-service", "Agg.Do", 13, "Run closure has both repo.Save and outbox.Append", 1.0),
+        ("outbox-append", "Agg.Do", 16, "calls Outbox.AppendFromContext", 1.0),
+        ("outbox-append", "svc.free", 20, "calls outbox.Append", 1.0),
+    ]
+    assert list(patterns.matches("")) == []
+
+
+def test_python_scopes_and_own_calls(spark):
+    text = "try:\n    import a\nexcept (OSError, ImportError):\n    import b\ntry:\n    import c\nexcept Exception:\n    pass\nif not TYPE_CHECKING:\n    from . import d, e as f\nelse:\n    from x import *\ndef g():\n    if 1:\n        import h\n    @d(1)\n    class K:\n        z = i()\n    return [j(q) for q in k()]\n"
+    rows = files.python_edges(spark.createDataFrame([("p/m.py", text), ("p/bad.py", "def (:"), ("p/none.py", None)], "file_path string, text string")).collect()
+    assert [(r["target"], r["scope"]) for r in rows if r["kind"] == "import"] == [("a", "try_guard"), ("b", "try_guard"), ("c", "module"), (".d", "conditional"), (".e", "conditional"), ("x.*", "conditional"), ("h", "function")]
+    assert sorted((r["source"], r["target"]) for r in rows if r["kind"] == "call") == [("p.m.g", "j"), ("p.m.g", "k")]
+    assert [(r["source"], r["target"]) for r in rows if r["kind"] == "decorator"] == [("p.m.g.K", "d(1)")]
+
+
+def test_stored_note_is_one_of_the_notes(spark):
+    notes = spark.createDataFrame([("f", 1, "feature", ["zz"], [], "legacy", 1), ("f", 1, "feature", ["aa"], ["#t"], "current", 2)], "file_path string, line int, kind string, ids array<string>, tags array<string>, source string, seq long")
+    assert [(r["value"], r["source"]) for r in annotations.to_store(notes).collect()] == [("aa #t", "current")]
+
+
+def test_skips_after_an_end_and_ends_before_a_run(spark):
+    ev = lambda action, test, **k: {"Action": action, "Package": "p", "Test": test, **k}
+    events = go_lines(spark, ev("pass", "A", Elapsed=9), ev("run", "A"), ev("fail", "A", Elapsed=1), ev("run", "B"), ev("pass", "B"), ev("skip", "B"))
+    assert [(r["test"], r["status"], r["duration_ns"]) for r in files.go_metrics(events).collect()] == [("A", "fail", 1_000_000_000)]
+
+
+def test_a_stopped_swap_is_undone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path + ".old")  # set aside, and then stopped
+    I.restore(spark, path)
+    assert spark.read.parquet(path).count() == 3
+    I.swap(spark.read.parquet(path).filter("id = 1"), path)
+    assert spark.read.parquet(path).count() == 1 and not (tmp_path / "t.old").exists()
