@@ -30,6 +30,8 @@ DIM = 1 << BITS
 #: Texts per language that centroids are fitted on, centroids per language, and the share of these texts that may be rejected.
 SAMPLE, CENTROIDS, REJECT = 400, 4, 0.005
 UNKNOWN = "und"
+#: Up to so many languages the thresholds of the sample are broadcast.
+LANGUAGES = 10_000
 
 #: ASCII characters but letters become spaces; bytes above 127 are parts of letters mostly.
 _TABLE = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
@@ -86,7 +88,9 @@ def sample(docs: DataFrame, per_lang: int = SAMPLE) -> list[tuple[str, np.ndarra
     upto = F.sum("n").over(Window.partitionBy("_lang").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1))
     steps = docs.groupBy("_lang", step.alias("_step")).agg(F.count(F.lit(1)).alias("n"))
     last = steps.withColumn("_below", F.coalesce(upto, F.lit(0))).filter(F.col("_below") < per_lang).groupBy("_lang").agg(F.max("_step").alias("_last"))
-    few = docs.join(last, "_lang").filter(step <= F.col("_last")).drop("_last")
+    last = common.cut(last, "language-last")
+    # a row per language: checked, and beyond that joined by shuffling
+    few = docs.join(F.broadcast(last) if last.count() <= LANGUAGES else last, "_lang").filter(step <= F.col("_last")).drop("_last")
     ranked = few.withColumn("_h", h).withColumn("_k", F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_id", "text"))).filter(F.col("_k") <= per_lang)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
