@@ -460,20 +460,23 @@ def test_warc_of_odd_pages(spark, tmp_path):
     from sextant.llm import warc
 
     html = ["<p>one</p>", "x\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n", None, "", "ünï 😀", "y" * 300_000]
-    rows = [(i, None if i % 5 == 0 else f"http://h/{i}\n?q= {i}", html[i % 6], "extra") for i in range(40, 0, -1)] + [(7, "http://h/7", html[1], "x"), (None, "u", html[4], "x"), (None, None, "only", "x")]
+    rows = [(i, None if i % 5 == 0 else f"http://h/{i}\n?q= {i}", html[i % 6], "extra") for i in range(40, 0, -1)] + [(7, "http://h/7", html[1], "x"), (None, "u", html[4], "x"), (None, None, "only", "x"), (1, "again", html[1], "x"), (1, "again", html[1], "x"), (None, None, "only", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, _digest string")
     path = str(tmp_path / "warc")
     warc.write_archives(pages, path, records_per_file=7)
     got = warc.resolve(warc.read_archives(spark, path)).collect()
-    groups = defaultdict(list)
-    for i, _, h, _ in rows:
-        groups[h or ""].append(i)
-    want = Counter()
-    for i, _, h, _ in rows:
+    want, seen = Counter(), {}
+    for i, _, h, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         data = (h or "").encode()
-        ids = [x for x in groups[h or ""] if x is not None]
-        first = min(ids) if ids else None
-        want[(i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if i == first else "revisit", None if i == first else first)] += 1
+        kind = "revisit" if data in seen else "response"
+        first = seen.setdefault(data, i)
+        want[(i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), kind, first if kind == "revisit" else None)] += 1
+    assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
+    read = warc.read_archives(spark, path).collect()
+    assert len({r["record_id"] for r in read}) == len(rows)
+    pages.repartition(5).write.parquet(str(tmp_path / "pages"))
+    warc.write_archives(spark.read.parquet(str(tmp_path / "pages")), str(tmp_path / "grouped"), as_read=True, most=1)
+    got = warc.resolve(warc.read_archives(spark, str(tmp_path / "grouped"))).collect()
     assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
     warc.write_archives(pages, str(tmp_path / "large"), min_bytes=100)
     kinds = Counter((r["record_type"], r["payload_bytes"] >= 100) for r in warc.resolve(warc.read_archives(spark, str(tmp_path / "large"))).collect())
