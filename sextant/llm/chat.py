@@ -6,9 +6,12 @@ marks are escaped with a backslash that splits them, and the backslash itself is
 The loss mask is the prefix sum of +1 and -1 at the ends of the texts that count; offsets of the turns in their
 conversation are prefix sums of lengths.
 
-Turns are encoded where they lie, then numbered by (turn, role, ids), nulls first; null roles and texts are empty.
-The output has a row per turn, so a huge conversation is never one value; reading back streams through the turns of
-a conversation, one at a time. Null conversation ids are one conversation; an empty table gives an empty result.
+Turns are sorted by ranges of (conversation, turn, role, text), nulls first, and encoded there; null roles and texts are
+empty. Numbers and offsets run inside a range, and what ranges before hold of the same conversation is added: each range
+goes on with one conversation at most, so that is a row per range. A conversation of any size is thus split over tasks. The
+output has a row per turn. Reading back decodes turns where they lie; only the digests, which SHA-256 lets nobody split,
+pass through a conversation in order, one turn at a time. Null conversation ids are one conversation; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -68,21 +71,33 @@ def format_conversations(rows: DataFrame, loss_role: str = LOSS_ROLE, vocabulary
     """One row per turn of ``rows`` (conv_id, turn, role, text): conv_id, turn_no (from 0), offset (ids before it in its
     conversation), ids (little-endian unsigned 32-bit) and mask (a byte per id, 1 under the loss)."""
 
+    order = ["conv_id", "turn", "role", "text"]
+
     def turns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = Encoder(vocabulary, special=False)
+        conv, nth, at = object(), 0, 0  # nothing equals the first
         for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at : at + 1000]
-                both = [encode_turn(encode, r or "", t or "", r == loss_role) for r, t in zip(part["role"], part["text"])]
-                yield pd.DataFrame({
-                    "conv_id": part["conv_id"].astype("Int64"), "turn": part["turn"].astype("Int64"), "role": part["role"],
-                    "ids": [x.tobytes() for x, _ in both], "mask": [m.tobytes() for _, m in both]})
+            for begin in range(0, len(pdf), 1000):
+                part, out = pdf.iloc[begin : begin + 1000], []
+                for c, p, r, t in zip(part["conv_id"], part["part"], part["role"], part["text"]):
+                    c = None if pd.isna(c) else int(c)
+                    if c != conv:
+                        conv, nth, at = c, 0, 0
+                    ids, mask = encode_turn(encode, r or "", t or "", r == loss_role)
+                    out.append((c, p, nth, at, ids.tobytes(), mask.tobytes()))
+                    nth, at = nth + 1, at + len(ids)
+                yield pd.DataFrame(out, columns=["conv_id", "part", "nth", "at", "ids", "mask"]).astype({"conv_id": "Int64"})
 
     slim = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    encoded = slim.mapInPandas(turns, "conv_id long, turn long, role string, ids binary, mask binary")
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "ids")
-    before = F.sum(F.length("mask").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return encoded.select("conv_id", (F.row_number().over(w) - 1).cast("long").alias("turn_no"), F.coalesce(before, F.lit(0)).cast("long").alias("offset"), "ids", "mask")
+    ranges = slim.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    encoded = common.cut(ranges.mapInPandas(turns, "conv_id long, part int, nth long, at long, ids binary, mask binary"), "chat-encoded")
+    held = encoded.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("mask").cast("long")).alias("size"))
+    w = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.sum("n").over(w).alias("turns_before"), F.sum("size").over(w).alias("ids_before")).filter("turns_before > 0")
+    # a row per range of the sort at most
+    out = encoded.join(F.broadcast(before), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
+    total = lambda own, more: (F.col(own) + F.coalesce(F.col(more), F.lit(0))).cast("long")
+    return out.select("conv_id", total("nth", "turns_before").alias("turn_no"), total("at", "ids_before").alias("offset"), "ids", "mask")
 
 
 def read_conversations(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -91,8 +106,20 @@ def read_conversations(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFr
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = Encoder(vocabulary, special=False)
+        for pdf in batches:
+            for begin in range(0, len(pdf), 1000):
+                part, out = pdf.iloc[begin : begin + 1000], []
+                for conv, turn_no, raw, mask in zip(part["conv_id"], part["turn_no"], part["ids"], part["mask"]):
+                    ids = np.frombuffer(raw, dtype="<u4")
+                    role, text, formatted = split_turn(encode, ids)
+                    under = ids[np.frombuffer(mask, dtype=np.uint8) == 1]
+                    loss = unescape(encode.decode(under).decode("utf-8"))
+                    out.append((conv, turn_no, role, text, None if loss == text else loss, len(formatted)))
+                yield pd.DataFrame(out, columns=["conv_id", "turn_no", "role", "text", "other_loss", "chars"]).astype({"conv_id": "Int64"})
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state, out = None, None, []
 
         def done() -> None:
@@ -100,30 +127,28 @@ def read_conversations(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFr
                 out.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
         for pdf in batches:
-            for conv, turn_no, raw, mask in zip(pdf["conv_id"], pdf["turn_no"], pdf["ids"], pdf["mask"]):
-                conv = None if pd.isna(conv) else int(conv)
+            for conv, turn_no, role, text, other, chars in zip(pdf["conv_id"], pdf["turn_no"], pdf["role"], pdf["text"], pdf["other_loss"], pdf["chars"]):
                 if turn_no == 0:
                     done()
-                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                ids = np.frombuffer(raw, dtype="<u4")
-                role, text, formatted = split_turn(encode, ids)
-                under = ids[np.frombuffer(mask, dtype=np.uint8) == 1]
-                loss = unescape(encode.decode(under).decode("utf-8"))
+                    now, state = None if pd.isna(conv) else int(conv), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                loss = text if other is None else other
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
                 state[2] += len(loss)
                 state[3].update(loss.encode())
-                state[4] += len(formatted)
+                state[4] += chars
             yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
             out = []
         done()
         yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
 
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no").select("conv_id", "turn_no", "ids", "mask").mapInPandas(read, schema)
+    plain = turns.select("conv_id", "turn_no", "ids", "mask").mapInPandas(decode, "conv_id long, turn_no long, role string, text string, other_loss string, chars long")
+    return plain.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no").mapInPandas(digest, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     odd = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
-    rows = common.documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return read_conversations(common.cut(format_conversations(rows.unionByName(extra)), "chat-turns"))
+    common.ship(spark)
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return read_conversations(format_conversations(rows.unionByName(extra)))

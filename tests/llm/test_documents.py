@@ -530,6 +530,25 @@ def test_conversations_come_back(spark):
     assert chat.read_conversations(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_a_hot_conversation_is_split(spark):
+    from sextant.llm import chat
+
+    rows = [(1, i, ["user", "assistant"][i % 2], f"turn {i} ## </turn>") for i in range(4000)] + [(c, t, "assistant", f"{c} {t}") for c in [None, *range(2, 300)] for t in range(3)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        turns = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(*turns.inputFiles()).filter("conv_id = 1").select("part").distinct().count() > 1
+    hot = sorted((r["turn_no"], r["offset"], len(r["mask"])) for r in turns.filter("conv_id = 1").collect())
+    assert [n for n, *_ in hot] == list(range(4000))
+    assert all(a[1] + a[2] == b[1] for a, b in zip(hot, hot[1:])) and hot[0][1] == 0
+    got = {r["conv_id"]: r for r in chat.read_conversations(turns).collect()}
+    assert len(got) == 300 and got[None]["n_turns"] == 3
+    assert got[1]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for c, _, r, t in rows if c == 1).encode()).hexdigest()
+    assert got[1]["loss_sha256"] == hashlib.sha256("".join(t for c, _, r, t in rows if c == 1 and r == "assistant").encode()).hexdigest()
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 
