@@ -1,6 +1,6 @@
 """Deduplication of repeated line runs with a suffix array over line ids.
 
-The corpus is read as one sequence of lines in the order (id, place); lines without a word are skipped, and
+The corpus is read as one sequence of lines in the order (id, hash of the text, place); lines without a word are skipped, and
 documents end the sequence. Suffixes are ranked by distributed prefix doubling: round k ranks the blocks of
 2^k lines that occur at least twice, from pairs of ranks of round k-1. Ranks follow the lexicographic order of
 the line hashes, so equal ranks of round k are an interval of the suffix array whose longest common prefix is
@@ -55,13 +55,14 @@ def _steps(counts, least: int) -> Column:
 
 
 def positions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per line with a word: ``pos`` numbers them in the order of (id, row), without gaps inside a document.
+    """One row per line with a word: ``pos`` numbers them in the order of (id, hash of the text, row), without gaps inside a document.
 
     ``left``: lines of its document from here on; ``ahead``/``back``: lines of the shortest block of ``min_words``
     words that starts/ends here (null: none); ``reach``: no block from here that is needed has more lines.
     """
-    slim = common.cut(docs.select("_id", "_row_id", _lines(F.col("_text")).alias("ls")), "line-ids").filter(F.size("ls") > 0)
-    slim = slim.repartitionByRange("_id", "_row_id").sortWithinPartitions("_id", "_row_id")
+    slim = common.cut(docs.select("_id", F.xxhash64("_text").alias("_order"), "_row_id", _lines(F.col("_text")).alias("ls")), "line-ids").filter(F.size("ls") > 0)
+    order = ["_id", "_order", "_row_id"]  # by content, so that rows of one id stand alike in every layout of the input
+    slim = slim.repartitionByRange(*order).sortWithinPartitions(*order)
     n = F.size("ls")
     w = F.transform("ls", lambda x: x["words"])
 
@@ -124,7 +125,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     """``docs`` with later copies of repeated line runs taken out of the text, and ``n_lines`` and ``n_removed``.
 
     The first copy is the one with the smallest id, then the smaller place; null ids come first, and rows with the
-    same id are ordered as read. Runs may lie in one document or in several. Lines are compared by their words, so
+    same id are ordered by a hash of their text, so that the layout of the input does not matter. Runs may lie in one document or in several. Lines are compared by their words, so
     white space does not tell them apart; kept lines keep theirs. Null or empty texts are returned as they are,
     with no line. Columns called ``n_lines`` or ``n_removed`` before are replaced; all others are returned.
     An empty table gives an empty result. No document is dropped: a text that is a later copy becomes empty.

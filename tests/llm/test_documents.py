@@ -108,6 +108,13 @@ def test_line_dedup_of_odd_rows(odd, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_does_not_depend_on_the_order_of_rows(make):
+    p = [passage(i, 60) for i in range(3)]
+    rows = [(1, p[0] + "\na"), (1, p[0] + "\nb"), (1, p[1]), (None, p[1] + "\nc"), (None, p[2]), (2, p[2] + "\n" + p[0])]
+    results = {tuple(sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.dedup_lines(make(rows[i:] + rows[:i])).collect())) for i in (0, 2, 5)}
+    assert len(results) == 1
+
+
 def test_white_space_does_not_tell_lines_apart(make):
     p = passage(1, 55)
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(make([(1, p + "\nend"), (2, "start\n\t " + p.replace(" ", " \t") + "\r\nx")])).collect()}
