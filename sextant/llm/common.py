@@ -44,15 +44,17 @@ def where(df: DataFrame, cond: Column) -> DataFrame:
     return df.withColumn(fence, F.spark_partition_id()).filter(cond & (F.col(fence) >= 0)).drop(fence)
 
 
-#: Bytes per core under which a table is dealt anew to all cores: a small file often has one row group, and so one task.
+#: Bytes per core under which a table of fewer files than cores is dealt anew to all cores: a small file often has one row
+#: group, and so one task.
 SPREAD_BYTES = 8 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if the planner knows it to be small; larger tables have splits enough and are not shuffled."""
+    """``df`` over all cores if the planner knows it to be small and in few files; other tables have splits enough and are not
+    shuffled. No result depends on it: all orders are by content."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if known <= SPREAD_BYTES * cores else df
+    return df.repartition(cores) if known <= SPREAD_BYTES * cores and len(df.inputFiles()) < cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
