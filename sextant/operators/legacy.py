@@ -17,24 +17,33 @@ def shared_segments(df: DataFrame, key: str, path: str, skip: list[str], longer_
     return seg.join(classes, "segment").select(key, "segment", "n")
 
 
+def folder_domains(tests: DataFrame, marked: DataFrame, registry: DataFrame) -> DataFrame:
+    """The nearest domain (file_path, domain) of each test file that names no feature, by its path.
+
+    A folder equal to a domain counts from the deepest up; else the smallest domain that the path contains between a slash
+    and a dot. Each file has one row: all features of its domain are its features, and no pairs of the two are made.
+    """
+    rest = tests.join(marked.select("file_path"), "file_path", "left_anti").select("file_path").distinct()
+    parts = F.split(F.lower("file_path"), "/")
+    folders = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p, i: F.struct(p.alias("domain"), i.alias("at")))
+    # the leading words of each component after a slash; whole components are folders
+    leading = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda n: F.struct(F.array_join(F.slice(w, F.lit(1), n), ".").alias("domain"), F.lit(-1).alias("at")))
+    dotted = F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.contains(p, F.lit(".")))
+    inside = F.flatten(F.transform(dotted, lambda p: leading(F.split(p, r"\."))))
+    found = rest.select("file_path", F.explode(F.concat(folders, inside)).alias("c")).select("file_path", "c.*").join(registry.select("domain").distinct(), "domain")
+    best = found.groupBy("file_path").agg(F.max("at").alias("at"), F.max_by("domain", "at").alias("folder"), F.min("domain").alias("least"))
+    return best.select("file_path", F.when(F.col("at") >= 0, F.col("folder")).otherwise(F.col("least")).alias("domain"))
+
+
 def map_tests(tests: DataFrame, marked: DataFrame, registry: DataFrame) -> DataFrame:
     """Features of test files: those the file names (``marked``: file_path, feature_id), else all of the nearest domain in its path.
 
-    A folder equal to a domain counts from the deepest up; else the smallest domain that the path contains before a slash or a dot.
+    A row per file and feature, as many as their product; ``folder_domains`` has a row per file.
     """
-    named = tests.join(marked, "file_path").select("file_path", "feature_id", F.lit("annotation").alias("how"))
-    rest = tests.join(marked.select("file_path"), "file_path", "left_anti").select("file_path").distinct()
-    domains = registry.select("domain").distinct()
-    low = F.lower("file_path")
-    folders = rest.select("file_path", F.posexplode(F.slice(F.split(low, "/"), F.lit(1), F.greatest(F.size(F.split(low, "/")) - 1, F.lit(0)))).alias("at", "domain"))
-    near = folders.join(domains, "domain").groupBy("file_path").agg(F.max_by("domain", "at").alias("domain"))
-    # a domain between a slash and a slash or a dot: the leading words of each component
-    left = rest.join(near, "file_path", "left_anti")
-    words = left.select("file_path", F.explode(F.slice(F.split(low, "/"), 2, F.size(F.split(low, "/")))).alias("part"))
-    dots = F.transform(F.sequence(F.lit(1), F.size(F.split("part", r"\."))), lambda n: F.array_join(F.slice(F.split("part", r"\."), F.lit(1), n), "."))
-    inside = words.select("file_path", F.explode(dots).alias("domain"), "part").filter("domain <> part OR contains(part, '.')").join(domains, "domain").groupBy("file_path").agg(F.min("domain").alias("domain"))
-    auto = near.unionByName(inside).join(registry.select("domain", "feature_id"), "domain").select("file_path", "feature_id", F.lit("folder").alias("how"))
-    return named.unionByName(auto).distinct()
+    named = tests.join(marked, "file_path").select("file_path", "feature_id", F.lit("annotation").alias("how")).distinct()
+    features = registry.select("domain", "feature_id").distinct()
+    auto = folder_domains(tests, marked, registry).join(features, "domain").select("file_path", "feature_id", F.lit("folder").alias("how"))
+    return named.unionByName(auto)
 
 
 def feature_table(rows: DataFrame, text: str = "", priority: str = "", band: str = "", page: int = 1, per_page: int = 15) -> DataFrame:

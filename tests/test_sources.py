@@ -1,6 +1,7 @@
 import json
 
 from pyspark.sql import functions as F
+from support import DATA
 
 from sextant.functions import paths
 from sextant.operators import ingest as I
@@ -174,6 +175,38 @@ def test_tests_map_to_features(spark):
     assert got == {"a/auth/pay/x_test.go": {"pay.card"}, "src/Auth/x_test.go": {"auth.login", "auth.out"}, "web/pay.smoke/x.spec.ts": {"pay.card"}, "named/auth/x.go": {"own.f"}}
 
 
+def test_mapped_tests_make_no_pairs(spark, tmp_path):
+    """Work of j14 follows files and features, not their product; repeated rows count as the SQL counts them."""
+    import __spark_entry__
+    import duckdb
+
+    part = spark.read.parquet(f"{DATA}/sf0.001/part.parquet").limit(1).drop("p_partkey")
+    keys = spark.range(3000).unionByName(spark.range(40)).withColumnRenamed("id", "p_partkey")
+    keys.crossJoin(part).select("p_partkey", *part.columns).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    got = __spark_entry__.queries()["j14_map_tests"](spark, str(tmp_path))
+    rows = sorted(tuple(r) for r in got.collect())
+    with duckdb.connect() as duck:
+        duck.execute(f"CREATE VIEW part AS FROM '{tmp_path}/part.parquet/*.parquet'")
+        assert rows == sorted(duck.execute(__spark_entry__.oracle_sql()["j14_map_tests"]).fetchall()) and len(rows) == 2280
+
+    def most(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return most(node.executedPlan())
+        inner = [most(node.plan())] if name.endswith("QueryStageExec") else [most(node.children().apply(i)) for i in range(node.children().size())]
+        own = node.metrics().get("numOutputRows")
+        return max([*inner, own.get().value() if own.isDefined() else 0])
+
+    assert 3000 <= most(got._jdf.queryExecution().executedPlan()) < 30_000  # 3,000 files, 250 features a domain
+
+
+def test_last_component_is_no_folder(spark):
+    tests = spark.createDataFrame([("a/x_test.go",), ("a/b.c/x",), ("auth.smoke/x",), ("a/b.c.d",), ("x",), (None,)], "file_path string")
+    registry = spark.createDataFrame([("x_test.go", "f"), ("b.c", "g"), ("auth", "h"), ("x", "i")], "domain string, feature_id string")
+    got = legacy.map_tests(tests, tests.limit(0).withColumn("feature_id", tests["file_path"]), registry)
+    assert sorted(tuple(r)[:2] for r in got.collect()) == [("a/b.c.d", "g"), ("a/b.c/x", "g")]
+
+
 def test_patterns_read_code_only():
     go = """package svc
 
