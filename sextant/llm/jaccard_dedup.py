@@ -1,10 +1,14 @@
 """Near-duplicates by word shingles: pairs whose Jaccard similarity is 0.8 or more, found by fuzzy keys and verified exactly.
 
-A text is the set of its shingles of five words. Equal sets are folded first. Candidates share a key. The Golay keys of the
-SimHash fingerprint of these shingles (``simhash_dedup``) find all fingerprints within two bits; as a similarity of 0.8 means
-about ten bits, MinHash keys find those beyond. ``BANDS`` of these of ``ROWS`` minima each:
-two sets of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS, which is 0.999995 at 0.8 and more
-above. Every candidate is verified on its whole sets, so no pair below the similarity is linked. Before that, candidates
+A text is the set of its shingles of five words. Equal sets are folded first. The method is that of ``simhash_dedup``, fuzzy
+hashing of the segments of a SimHash fingerprint with the Golay code, made for this distance: a similarity of 0.8 means that
+15 % of the bits differ, of a segment of 23 bits 3.5, and two segments then share a codeword index of ``golay.nearby`` with
+probability 0.60. So the fingerprint has ``BANDS`` segments. An index has 12 bits, too few to tell the texts of a large table
+apart, so that each segment's is read together with the least of the shingles in ``ROWS`` orders (one that texts of similarity
+s share with probability s). Every candidate shares such an index: two sets of similarity 0.8 have one in common with
+probability 0.999998 (0.9999 if they have under ten shingles), and above with more. Minima that no other set has cannot meet,
+and are left out before indices are made.
+Every candidate is verified on its whole sets, so no pair below the similarity is linked. Before that, candidates
 go whose bitmaps of parities (``odd``) differ in more bits than the sets may differ in shingles: the bits never differ in more.
 
 Buckets of up to ``bucket`` sets are verified pair by pair. In larger ones all are first held to the smallest, and then all
@@ -16,26 +20,29 @@ Texts without words have the empty set, which is equal to itself. Texts of fewer
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm import common, simhash_dedup
+from sextant.llm import common, golay
 from sextant.llm.components import components
 
-SHINGLE, PERCENT, SEED, BUCKET = 5, 80, 42, 48
-BANDS, ROWS = 40, 6
-#: Words of 64 bits in a bitmap of parities.
-ODD = 8
-#: Shingles hashed at once: bounds the memory of a long text, and fits a core's cache.
-STEP = 256
+SHINGLE, PERCENT, SEED, BUCKET = 5, 80, 42, 12
+BANDS, ROWS = 20, 1
+#: Words of 64 bits in a bitmap of parities, and in a fingerprint of ``BANDS`` segments.
+ODD, WORDS = 8, -(-golay.N * BANDS // 64)
+#: Shingles hashed at once: bounds the memory of a long text, fits a core's cache, and a count of them fits a byte.
+STEP = 255
 
 _rng = np.random.default_rng(SEED)
-_FLIP = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
-_FACTOR = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-_BASE, _MIX = (_rng.integers(0, 1 << 64, 2, dtype=np.uint64) | np.uint64(1))
+_FLIP = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
+_FACTOR = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_BASE, _MIX, _REMIX = (_rng.integers(0, 1 << 64, 3, dtype=np.uint64) | np.uint64(1))
+_WORD = _rng.integers(0, 1 << 64, WORDS, dtype=np.uint64)
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -54,21 +61,44 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(out ^ out >> np.uint64(29))
 
 
-def keys(found: np.ndarray) -> np.ndarray:
-    """One MinHash key a band of a set that is not empty, as signed longs."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, dtype=np.uint32)
-    short = (found >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(short), STEP):
-        np.minimum(least, ((short[at : at + STEP, None] ^ _FLIP) * _FACTOR).min(axis=0), out=least)
+def segments(found: np.ndarray) -> np.ndarray:
+    """The segments of a set's SimHash fingerprint: of each bit of the remixed hashes, whether over half of them have it."""
+    ones = np.zeros(64 * WORDS, dtype=np.int64)
+    for at in range(0, len(found), STEP):
+        h = (found[at : at + STEP, None] ^ _WORD) * _MIX
+        h = (h ^ h >> np.uint64(32)) * _REMIX
+        h ^= h >> np.uint64(29)
+        ones += np.unpackbits(h.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    bits = (ones * 2 > len(found))[: golay.N * BANDS].reshape(BANDS, golay.N)
+    return bits @ (1 << np.arange(golay.N, dtype=np.int64))
+
+
+def minima(found: np.ndarray) -> np.ndarray:
+    """One hash of 41 bits a band of the ``ROWS`` minima of a set that is not empty."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(found), STEP):
+        np.minimum(least, ((found[at : at + STEP, None] ^ _FLIP) * _FACTOR).min(axis=0), out=least)
     rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], dtype=np.uint64).view(np.int64)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) >> golay.N for i, r in enumerate(rows)], dtype=np.int64)
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """Per band the minima and, in the last 23 bits, the segment, as signed longs; none of an empty set."""
+    return minima(found) << golay.N | segments(found) if len(found) else np.array([], dtype=np.int64)
+
+
+def fuzzy_keys(band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Golay keys of bands, 6 a row, and which of them are there: the minima and a codeword index near the segment."""
+    near = golay.nearby(band & ((1 << golay.N) - 1))
+    return (band >> golay.N << golay.K)[:, None] | near, near >= 0
 
 
-def fuzzy_keys(sets: list[np.ndarray]) -> list[np.ndarray]:
-    """The Golay keys of each set's SimHash fingerprint, told apart from MinHash keys by their size of 37 bits."""
-    prints = np.array([simhash_dedup.majority(s) for s in sets], dtype=np.uint64)
-    key, near = simhash_dedup.golay_keys(prints)
-    return [k[n] for k, n in zip(key, near)]
+def _fuzzy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for at in range(0, len(pdf), 20_000):
+            part = pdf.iloc[at : at + 20_000]
+            key, there = fuzzy_keys(part["band"].to_numpy())
+            yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), there.sum(axis=1)), "key": key[there]})
 
 
 def odd(found: np.ndarray) -> np.ndarray:
@@ -88,12 +118,12 @@ def _near(x, y, percent: int) -> Column:
 
 
 def _sketched(text: Column, shingle: int) -> Column:
-    @F.pandas_udf("digest string, keys array<long>, n int, " + ", ".join(f"{o} long" for o in _BITS))
+    @F.pandas_udf("digest string, bands array<long>, n int, " + ", ".join(f"{o} long" for o in _BITS))
     def sketch(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles(t, shingle) for t in texts]
         return pd.DataFrame({
             "digest": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets],
-            "keys": [np.concatenate([f, keys(s)]) if len(s) else np.array([], dtype=np.int64) for f, s in zip(fuzzy_keys(sets), sets)],
+            "bands": [bands(s) for s in sets],
             "n": np.array([len(s) for s in sets], dtype=np.int32),
             **dict(zip(_BITS, np.array([odd(s) for s in sets], dtype=np.int64).reshape(-1, ODD).T)),
         })
@@ -119,11 +149,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, ta
 
 
 def links(sketches: DataFrame, texts: DataFrame, bucket: int = BUCKET, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Links (u, v) between ``sketches`` (id, n, o0.., keys) of distinct sets, complete up to connection."""
-    keyed = common.cut(sketches.select("id", F.explode("keys").alias("key")), "jaccard-keys")
+    """Links (u, v) between ``sketches`` (id, n, o0.., bands) of distinct sets, complete up to connection."""
+    banded = common.cut(sketches.select("id", F.explode("bands").alias("band")).withColumn("least", F.shiftright("band", golay.N)), "jaccard-bands")
+    met = common.cut(banded.groupBy("least").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("least"), "jaccard-minima")
+    keyed = common.cut(banded.join(met, "least").select("id", "band").mapInPandas(_fuzzy, "id long, key long"), "jaccard-keys")
     sizes = common.cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "jaccard-sizes")
     shared = common.cut(keyed.join(sizes, "key"), "jaccard-shared")
-    shared = common.cut(shared.join(sketches.drop("keys"), "id"), "jaccard-buckets")
+    shared = common.cut(shared.join(sketches.drop("bands"), "id"), "jaccard-buckets")
     field = lambda e: lambda c: e[c]
     few = shared.filter(F.col("size") <= bucket).groupBy("key").agg(F.collect_list(F.struct("id", "n", *_BITS)).alias("m"))
     pair = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["id"] < x["id"]) & _near(field(x), field(y), percent)), lambda y: F.struct(x["id"].alias("u"), y["id"].alias("v")))))
@@ -153,7 +185,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
     flat = base.select(F.col("_row_id").alias("id"), F.col(f"_doc.`{id_col}`").alias("own"), F.col(f"_doc.`{text_col}`").alias("text"))
     order = F.struct(F.col("own").isNull().alias("none"), F.col("own").alias("own"), F.xxhash64("text").alias("hash"), F.col("id").alias("row"))
     slim = common.cut(flat.select("id", order.alias("order"), _sketched(F.col("text"), shingle).alias("s")).select("id", "order", "s.*"), "jaccard-docs")
-    sets = common.cut(slim.groupBy("digest").agg(F.min("id").alias("id"), F.min("order").alias("least"), *[F.first(c).alias(c) for c in ("keys", "n", *_BITS)]).drop("digest"), "jaccard-distinct")
+    sets = common.cut(slim.groupBy("digest").agg(F.min("id").alias("id"), F.min("order").alias("least"), *[F.first(c).alias(c) for c in ("bands", "n", *_BITS)]).drop("digest"), "jaccard-distinct")
     found = links(sets.drop("least"), flat.select("id", "text"), bucket, shingle, percent)
     roots = common.cut(components(found, "jaccard-links").withColumnRenamed("node", "id"), "jaccard-roots")
     placed = common.cut(sets.select("id", "least").join(roots, "id", "left").select("least", F.coalesce("root", "id").alias("root")), "jaccard-members")

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from llm_support import ODD, passage
 
-from sextant.llm import jaccard_dedup, simhash_dedup
+from sextant.llm import golay, jaccard_dedup, simhash_dedup
 
 
 def sets_of(text):
@@ -78,3 +79,29 @@ def test_odd_rows_fold_by_equal_sets(odd, empty):
     first = [min(g, key=key) for g in sets.values()]
     assert sorted((r["doc_id"] for r in out.collect()), key=key) == sorted(first, key=key)
     assert jaccard_dedup.keep_one(empty).count() == 0
+
+
+@pytest.mark.parametrize("shared, own", [(4, 1), (40, 5), (120, 15), (400, 50)])
+def test_golay_keys_alone_find_the_similarity(shared, own):
+    """Two sets of similarity 0.8 share a key, and every key has a Golay index of the fingerprint's segment in it."""
+    rng = np.random.default_rng(shared)
+    for _ in range(100):
+        hashes = rng.integers(0, 1 << 64, shared + 2 * own, dtype=np.uint64)
+        sets = [np.unique(hashes[:shared]) if own == 1 else np.unique(hashes[: shared + own]), np.unique(np.delete(hashes, slice(shared, shared + own)))]
+        keys = []
+        for s in sets:
+            band = jaccard_dedup.bands(s)
+            key, there = jaccard_dedup.fuzzy_keys(band)
+            near = golay.nearby(band & 0x7FFFFF)
+            assert len(band) == jaccard_dedup.BANDS and (key[there] & 0xFFF == near[near >= 0]).all()
+            keys.append(set(key[there].tolist()))
+        assert keys[0] & keys[1]
+
+
+def test_segments_are_majorities_of_bits():
+    """Equal sets have equal segments, sets without common shingles differ in half of the bits; similar ones in 15 %."""
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 1 << 64, (2, 450), dtype=np.uint64)
+    far = lambda a, b: sum(bin(int(d)).count("1") for d in jaccard_dedup.segments(a) ^ jaccard_dedup.segments(b)) / (23 * jaccard_dedup.BANDS)
+    assert far(x, rng.permutation(x)) == 0 and 0.4 < far(x, y) < 0.6
+    assert 0.1 < far(x, np.concatenate([x[:400], y[:50]])) < 0.2
