@@ -60,8 +60,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: Golay keys of SimHash fingerprints and, as a similarity of 0.8 is about
-    ten bits, MinHash keys; shingles of five words, verified exactly. Rows of one id are told apart by their text."""
+    """One document of each group of near-duplicates: Golay fuzzy hashing of the segments of a SimHash fingerprint over shingles
+    of five words, candidates of a similarity of 0.8 verified exactly, star components. Rows of one id are told apart by their
+    text."""
     return jaccard_dedup.keep_one(own(docs))
 
 
